@@ -107,10 +107,9 @@ class Value:
 
 def previous(*columns: str) -> Value:
     """Struct of ``columns`` in the row before, null for a key's first row."""
-    row = F.struct(*columns)
     return Value(
-        lambda f: F.lag(row).over(f.rows),
-        lambda f: F.max_by(row, f.order),
+        lambda f: F.lag(F.struct(*columns)).over(f.rows),
+        lambda f: F.max_by(F.struct(*columns), f.order),
         lambda f, t: F.lag(t).over(f.pieces),
         lambda a, b: F.coalesce(a, b),
     )
@@ -118,10 +117,9 @@ def previous(*columns: str) -> Value:
 
 def following(*columns: str) -> Value:
     """Struct of ``columns`` in the next row, null for a key's last row."""
-    row = F.struct(*columns)
     return Value(
-        lambda f: F.lead(row).over(f.rows),
-        lambda f: F.min_by(row, f.order),
+        lambda f: F.lead(F.struct(*columns)).over(f.rows),
+        lambda f: F.min_by(F.struct(*columns), f.order),
         lambda f, t: F.lead(t).over(f.pieces),
         lambda a, b: F.coalesce(a, b),
     )

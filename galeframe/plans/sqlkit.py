@@ -67,3 +67,43 @@ def cone(lead: str) -> str:
 
 def hours(a: str, b: str) -> str:
     return f"((epoch_us({b})-epoch_us({a}))/3.6e9)"
+
+
+def reflect(x: str, n: int) -> str:
+    m = f"((({x})%{2 * n}+{2 * n})%{2 * n})"
+    return f"(CASE WHEN {m}<{n} THEN {m} ELSE {2 * n - 1}-{m} END)"
+
+
+def gauss(source: str, out: str, weights: list[float], shape: tuple[int, int], keys: str) -> str:
+    """CTEs for Gaussian smoothing in gather form: each cell looks its neighbours up."""
+    radius = len(weights) // 2
+    rows = ", ".join(f"({k - radius}, {w!r}::DOUBLE)" for k, w in enumerate(weights))
+    same = " AND ".join(f"s.{k}=c.{k}" for k in keys.split(",") if k)
+    same = f"{same} AND " if same else ""
+    names = ", ".join(f"c.{k}" for k in keys.split(",") if k)
+    names = f"{names}, " if names else ""
+    by = "GROUP BY ALL"
+    return (
+        f"{out}_k(d, w) AS (VALUES {rows}), "
+        f"{out}_r AS (SELECT {names}c.lat_idx, c.lon_idx, sum(k.w*coalesce(s.value,0e0)) AS value FROM {source} c, {out}_k k, "
+        f"{source} s WHERE {same}s.lon_idx=c.lon_idx AND s.lat_idx={reflect('c.lat_idx+k.d', shape[0])} {by}), "
+        f"{out} AS (SELECT {names}c.lat_idx, c.lon_idx, sum(k.w*s.value) AS value FROM {out}_r c, {out}_k k, "
+        f"{out}_r s WHERE {same}s.lat_idx=c.lat_idx AND s.lon_idx={reflect('c.lon_idx+k.d', shape[1])} {by})"
+    )
+
+
+def cloud_norm(v: str, lo: str, hi: str) -> str:
+    c = f"coalesce({v},0e0)"
+    clip = lambda x: f"greatest(0e0,least(1e0,{x}))"
+    return (
+        f"(CASE WHEN {hi}<=1.05e0 THEN {clip(c)} WHEN {hi}<=100.5e0 THEN {clip(c + '/100')} "
+        f"WHEN {hi}-{lo}<1e-9 THEN 0e0 ELSE {clip(f'({c}-{lo})/({hi}-{lo})')} END)"
+    )
+
+
+def cubic(d: str) -> str:
+    a = f"abs({d})"
+    return (
+        f"(CASE WHEN {a}<1 THEN ({a}*1.5e0-2.5e0)*{a}*{a}+1e0 "
+        f"WHEN {a}<2 THEN (({a}*-0.5e0+2.5e0)*{a}-4e0)*{a}+2e0 ELSE 0e0 END)"
+    )

@@ -57,11 +57,11 @@ def grid_cells(documents: DataFrame) -> DataFrame:
     n_lat, n_lon = F.size("lat"), F.size("lon")
     rows = documents.select(*keys, "lat", "lon", F.posexplode("data").alias("_r", "_row"))
     cells = rows.select(*keys, "lat", "lon", "_r", F.posexplode("_row").alias("_c", "value"))
-    southward = F.element_at("lat", 1) >= F.element_at("lat", -1)
+    northward = F.element_at("lat", 1) < F.element_at("lat", -1)
     westward = F.element_at("lon", 1) > F.element_at("lon", -1)
     return cells.select(
         *keys,
-        F.when(southward & (n_lat > 1), n_lat - 1 - F.col("_r")).otherwise(F.col("_r")).alias("lat_idx"),
+        F.when(northward, n_lat - 1 - F.col("_r")).otherwise(F.col("_r")).alias("lat_idx"),
         F.when(westward, n_lon - 1 - F.col("_c")).otherwise(F.col("_c")).alias("lon_idx"),
         F.get("lat", F.col("_r")).alias("lat"),
         F.get("lon", F.col("_c")).alias("lon"),

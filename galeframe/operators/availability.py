@@ -83,14 +83,13 @@ def product_availability(lines: DataFrame, catalog: DataFrame, mode: str = "loos
             ).alias("_tokens"),
         )
         wanted = tokens.select(F.explode("_tokens").alias("t")).agg(F.array_sort(F.collect_set("t"))).scalar()
-        seen = lines.select(
-            *RUN, "fff",
-            F.explode(F.filter(
-                wanted,
-                lambda t: F.when(t.startswith("~"), F.contains(F.lower("line"), F.substring(t, 2, 1000)))
-                .otherwise(F.contains(F.col("line"), t)),
-            )).alias("token"),
-        ).distinct()
+        text_of = F.when(F.col("token").startswith("~"), F.lower("line")).otherwise(F.col("line"))
+        seen = (
+            lines.select(*RUN, "fff", "line").withColumn("_wanted", wanted)
+            .withColumn("token", F.explode("_wanted"))
+            .filter(F.contains(text_of, F.ltrim("token", F.lit("~"))))
+            .select(*RUN, "fff", "token").distinct()
+        )
         needed = tokens.select(
             "map_type", "product", F.explode("_tokens").alias("token"), F.size("_tokens").alias("_need")
         )
@@ -202,7 +201,7 @@ def fetch_plan(resolved: DataFrame, catalog: DataFrame) -> DataFrame:
         .withColumn("fff", F.explode("hours"))
         .join(F.broadcast(products), "map_type")
         .select(
-            *RUN, "map_type", "product", "fff",
+            *[c for c in resolved.columns if c not in ("hours", "valid")], "product", "fff",
             F.concat(
                 text.run_file(F.col("run_hour"), F.col("fff")), F.lit("."), F.col("product"), F.lit(".grib2")
             ).alias("file"),

@@ -1,6 +1,6 @@
 """Registered queries by name."""
 
-from galeframe.plans import grid_queries, track_queries  # noqa: F401
+from galeframe.plans import grid_queries, run_queries, track_queries  # noqa: F401
 from galeframe.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

@@ -105,6 +105,12 @@ REGIONS = {
     "TROPICAL-ADVISORIES": "ADVISORIES",
 }
 
+
+def region_table(spark: SparkSession) -> DataFrame:
+    rows = ", ".join(f"('{g}', '{n}')" for g, n in REGIONS.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(guid, region)")
+
+
 RSS = "channel struct<pubDate:string,item:array<struct<guid:string,title:string,description:string>>>"
 LINK = r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*)["']"""
 

@@ -1,6 +1,12 @@
 """Registered queries by name."""
 
-from galeframe.plans import grid_queries, run_queries, track_queries  # noqa: F401
+from galeframe.plans import (  # noqa: F401
+    document_queries,
+    grid_queries,
+    run_queries,
+    stream_queries,
+    track_queries,
+)
 from galeframe.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

@@ -195,17 +195,18 @@ def with_ordered(
     cut_by: Column | None = None,
     sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Add one column per entry of ``values``; all of them share one shuffle.
+    """Add (or replace) a column per entry of ``values``; all share one shuffle.
 
     ``order`` must rank the rows of a key; ``cut_by`` is the numeric form of its
     first column (by default the column itself).  ``sizes`` is a table with at least
     as many rows per key that is cheaper to count than ``df``.
     """
     keys = list(keys)
+    kept = [c for c in df.columns if c not in values]
     hot = hot_keys(df if sizes is None else sizes, keys)
     if hot is None:
         frame = _frame(keys, order, "_piece")
-        return df.select("*", *[v.local(frame).alias(n) for n, v in values.items()])
+        return df.select(*kept, *[v.local(frame).alias(n) for n, v in values.items()])
 
     cut = cut_hot_keys(df, keys, F.col(order[0]) if cut_by is None else cut_by, hot)
     frame = _frame(keys + ["_piece"], order, "_piece", keys)
@@ -220,12 +221,12 @@ def with_ordered(
         *[v.carried(frame, f"_t_{n}").alias(f"_c_{n}") for n, v in values.items()],
     )
     local = cut.select(
-        *df.columns,
+        *kept,
         "_piece",
         *[v.local(frame).alias(f"_l_{n}") for n, v in values.items()],
     )
     return local.join(F.broadcast(carried), keys + ["_piece"], "left").select(
-        *df.columns,
+        *kept,
         *[
             v.combine(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n)
             for n, v in values.items()

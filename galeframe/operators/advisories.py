@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from galeframe.functions import geo, text
 from galeframe.functions.times import hours_between
 from galeframe.operators.attach import attach
-from galeframe.operators.ordered import position, previous, row_count, whole, with_ordered
+from galeframe.operators.ordered import HotKeys, position, previous, row_count, whole, with_ordered
 
 ADVISORY = ["storm_id", "adv"]
 
@@ -33,24 +33,30 @@ def best_metadata(lines: DataFrame) -> DataFrame:
     )
 
 
-def impute_hours(points: DataFrame, lines: DataFrame) -> DataFrame:
-    """Add ``hour``: the given one, or one spread over the period, or six-hourly."""
+def _with_best(points: DataFrame, lines: DataFrame) -> DataFrame:
+    """Points with position and count in their advisory, and its best metadata."""
     placed = with_ordered(points, ADVISORY, ["seq"], {"pos": position(), "n": row_count()})
-    periods = best_metadata(lines).select(*ADVISORY, "max_fcstpd")
-    joined = attach(placed, periods, ADVISORY, "left")
+    return attach(placed, best_metadata(lines), ADVISORY, "left")
+
+
+def _hour() -> Column:
     given = F.coalesce(_ext("ext", "fcstpd").try_cast("int"), F.lit(-1))
     i, last = F.col("pos") - 1, F.col("n") - 1
     spread = F.rint(F.col("max_fcstpd") * i / F.nullif(last.cast("double"), F.lit(0.0))).cast("int")
-    return joined.select(
-        *points.columns,
+    return (
         F.when(given >= 0, given)
         .when(i == 0, F.lit(0))
         .when((F.col("max_fcstpd") > 0) & (F.col("n") > 1), spread)
         .otherwise((i * 6).cast("int"))
-        .alias("hour"),
+        .alias("hour")
     )
 
 
+def impute_hours(points: DataFrame, lines: DataFrame) -> DataFrame:
+    """Add ``hour``: the given one, or one spread over the period, or six-hourly."""
+    return _with_best(points, lines).select(*points.columns, _hour())
+
+
 # Result column -> metadata names tried in order.
 METADATA_FIELDS = {
     "storm_name": ("stormName",),
@@ -64,22 +70,21 @@ METADATA_FIELDS = {
 }
 
 
+def _metadata() -> list[Column]:
+    return [
+        F.coalesce(*[_ext("ext", k) for k in keys], *[_ext("best", k) for k in keys], F.lit("")).alias(name)
+        for name, keys in METADATA_FIELDS.items()
+    ]
+
+
 def fill_metadata(points: DataFrame, lines: DataFrame) -> DataFrame:
     """Each field from the point, else from the advisory's best metadata, else ''."""
-    best = best_metadata(lines).select(*ADVISORY, "best")
-    joined = attach(points, best, ADVISORY, "left")
-    fields = {
-        name: F.coalesce(
-            *[_ext("ext", k) for k in keys], *[_ext("best", k) for k in keys], F.lit("")
-        )
-        for name, keys in METADATA_FIELDS.items()
-    }
-    return joined.withColumns(fields).drop("best")
+    return attach(points, best_metadata(lines), ADVISORY, "left").select(*points.columns, *_metadata())
 
 
 def advisory_points(points: DataFrame, lines: DataFrame) -> DataFrame:
-    """Hours and metadata together."""
-    return fill_metadata(impute_hours(points, lines), lines)
+    """Hours and metadata together, with one pass over points and over lines."""
+    return _with_best(points, lines).select(*points.columns, _hour(), *_metadata())
 
 
 def initial_points(points: DataFrame) -> DataFrame:
@@ -99,7 +104,7 @@ def latest_advisory(points: DataFrame) -> DataFrame:
     return attach(points, top, ADVISORY)
 
 
-def advisory_movement(initials: DataFrame) -> DataFrame:
+def advisory_movement(initials: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Speed and direction between a storm's last two advisories.
 
     Six hours are assumed where a time cannot be read; a movement text in the
@@ -107,7 +112,8 @@ def advisory_movement(initials: DataFrame) -> DataFrame:
     """
     timed = initials.withColumn("_t", text.advisory_time(F.col("adv_time")))
     seen = with_ordered(
-        timed, ["storm_id"], ["adv"], {"prev": previous("lat", "lon", "_t"), "_top": whole(F.max, F.col("adv"))}
+        timed, ["storm_id"], ["adv"],
+        {"prev": previous("lat", "lon", "_t"), "_top": whole(F.max, F.col("adv"))}, hot=hot,
     ).filter(F.col("adv") == F.col("_top"))
     here = (F.col("prev.lat"), F.col("prev.lon"), F.col("lat"), F.col("lon"))
     gap = hours_between(F.col("prev._t"), F.col("_t"))
@@ -122,9 +128,9 @@ def advisory_movement(initials: DataFrame) -> DataFrame:
     )
 
 
-def history_path(initials: DataFrame) -> DataFrame:
+def history_path(initials: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Initial positions of all advisories in order, one row each."""
-    placed = with_ordered(initials, ["storm_id"], ["adv"], {"pos": position()})
+    placed = with_ordered(initials, ["storm_id"], ["adv"], {"pos": position()}, hot=hot)
     return placed.select("storm_id", "pos", "adv", "lat", "lon")
 
 

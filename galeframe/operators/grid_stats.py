@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from galeframe.functions.field import clip, is_close
 from galeframe.operators.attach import attach
+from galeframe.session import checkpointed
 
 
 def field_stats(cells: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -113,7 +114,8 @@ def density_grid(points: DataFrame, shape: tuple[int, int], keys: Sequence[str]
         at = ((F.col(v) - F.col(lo)) / (F.col(hi) - F.col(lo) + F.lit(1e-9)) * (n - 1)).cast("int")
         return F.greatest(F.lit(0), F.least(F.lit(n - 1), at))
 
-    bins = (
+    # At most one row per bin, read twice below: kept instead of counting twice.
+    bins = checkpointed(
         attach(points, extent, keys)
         .groupBy(
             *keys,
@@ -143,6 +145,8 @@ def dense_region_crop(
     """
     keys = list(keys)
     d = F.col("density")
+    # A density grid has a fixed number of bins; four passes follow.
+    density = checkpointed(density)
     threshold = density.groupBy(*keys).agg(
         F.coalesce(F.percentile(F.when(d > 0, d), F.lit(quantile)), F.lit(0.0)).alias("_thr"),
         F.max_by(F.struct("iy", "ix"), F.struct(d, -F.col("iy"), -F.col("ix"))).alias("_peak"),

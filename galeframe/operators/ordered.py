@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galeframe.session import checkpointed
+
 HOT_ROWS = 2_000_000
 HOT_PIECES = 512
 
@@ -34,16 +36,23 @@ def hot_limits(df: DataFrame) -> tuple[int, int]:
     )
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """Keys with too many rows for one task, or None if there is none.
+@dataclass(frozen=True)
+class HotKeys:
+    """Keys with too many rows for one task (``rows`` is None if there is none)."""
+
+    rows: DataFrame | None
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> HotKeys:
+    """The size check behind the choice of plan.
 
-    This is the size check behind the choice of plan. It runs one count by key,
-    which reads the key columns only and combines map-side.
+    One count by key, which reads the key columns only and combines map-side. A table
+    with at least as many rows per key may stand in for one that is dear to compute.
     """
     limit, _ = hot_limits(df)
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = counted.filter(F.col("_n") > limit)
-    return None if hot.isEmpty() else hot
+    return HotKeys(None if hot.isEmpty() else hot)
 
 
 def cut_hot_keys(df: DataFrame, keys: Sequence[str], order: Column, hot: DataFrame) -> DataFrame:
@@ -59,7 +68,9 @@ def cut_hot_keys(df: DataFrame, keys: Sequence[str], order: Column, hot: DataFra
     stride = F.greatest(
         F.lit(1), F.floor(F.lit(pieces) / F.ceil(F.col("_n") / F.lit(limit)))
     )
-    cuts = (
+    # Approximate percentiles may differ between two evaluations, and rows and carried
+    # values must use the same pieces, so the cut points are computed once and kept.
+    cuts = checkpointed(
         df.select(*keys, order.cast("double").alias("_o"))
         .join(F.broadcast(hot), keys)
         .groupBy(*keys, "_n")
@@ -193,22 +204,22 @@ def with_ordered(
     order: Sequence[str],
     values: dict[str, Value],
     cut_by: Column | None = None,
-    sizes: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Add (or replace) a column per entry of ``values``; all share one shuffle.
 
     ``order`` must rank the rows of a key; ``cut_by`` is the numeric form of its
-    first column (by default the column itself).  ``sizes`` is a table with at least
-    as many rows per key that is cheaper to count than ``df``.
+    first column (by default the column itself).  ``hot`` is the size check if it was
+    made before, else it is made here.
     """
     keys = list(keys)
     kept = [c for c in df.columns if c not in values]
-    hot = hot_keys(df if sizes is None else sizes, keys)
-    if hot is None:
+    hot = hot or hot_keys(df, keys)
+    if hot.rows is None:
         frame = _frame(keys, order, "_piece")
         return df.select(*kept, *[v.local(frame).alias(n) for n, v in values.items()])
 
-    cut = cut_hot_keys(df, keys, F.col(order[0]) if cut_by is None else cut_by, hot)
+    cut = cut_hot_keys(df, keys, F.col(order[0]) if cut_by is None else cut_by, hot.rows)
     frame = _frame(keys + ["_piece"], order, "_piece", keys)
     totals = (
         cut.filter("_hot")
@@ -250,14 +261,14 @@ def in_parts(
     order: Sequence[str],
     part_rows: int,
     cut_by: Column | None = None,
-    sizes: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Add ``part`` and ``pos``: rows of a key in order, ``part_rows`` to a part.
 
     Documents that list a key's rows are written one per part, so that no array
     outgrows ``part_rows`` elements.
     """
-    placed = with_ordered(df, keys, order, {"pos": position()}, cut_by, sizes)
+    placed = with_ordered(df, keys, order, {"pos": position()}, cut_by, hot)
     return placed.withColumn(
         "part", F.floor((F.col("pos") - 1) / F.lit(part_rows)).cast("int")
     )

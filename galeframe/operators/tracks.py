@@ -17,7 +17,9 @@ from galeframe.functions import classify, geo, units
 from galeframe.functions.times import hours_between
 from galeframe.operators.attach import attach
 from galeframe.operators.ordered import (
+    HotKeys,
     following,
+    hot_keys,
     in_parts,
     last_known,
     next_known,
@@ -33,10 +35,10 @@ ALONG = ["advisory_time", "seq"]
 
 
 def along(
-    points: DataFrame, values: dict, keys: Sequence[str] = STORM, sizes: DataFrame | None = None
+    points: DataFrame, values: dict, keys: Sequence[str] = STORM, hot: HotKeys | None = None
 ) -> DataFrame:
     """``with_ordered`` over the points of each storm in time order."""
-    return with_ordered(points, keys, ALONG, values, F.unix_micros("advisory_time"), sizes)
+    return with_ordered(points, keys, ALONG, values, F.unix_micros("advisory_time"), hot)
 
 
 def _motion(points: DataFrame) -> DataFrame:
@@ -119,10 +121,11 @@ def fold_batches(points: DataFrame, batch: str = "batch_seq") -> DataFrame:
     several current points in the last bulletin the newest stays. The result is
     enriched. Folding all arrivals at once equals merging them one by one.
     """
+    hot = hot_keys(points, STORM)
     # A row of the last bulletin always survives the de-duplication, so the last
-    # batch may be taken afterwards.
-    last = points.groupBy("storm_id").agg(F.max(batch).alias("_last"))
-    tagged = attach(dedupe_track(points, (batch, "seq")), last, STORM)
+    # batch may be taken afterwards; both ordered passes then share one shuffle.
+    unique = dedupe_track(points, (batch, "seq"))
+    tagged = along(unique, {"_last": whole(F.max, F.col(batch))}, hot=hot)
     kept = tagged.filter((F.col("type") != "forecast") | (F.col(batch) == F.col("_last")))
     demoted = kept.withColumn(
         "type",
@@ -131,7 +134,7 @@ def fold_batches(points: DataFrame, batch: str = "batch_seq") -> DataFrame:
         ).otherwise(F.col("type")),
     ).drop("_last")
     seen = along(
-        demoted, {"prev": PREV, "current_time": whole(F.max, _current_time())}, sizes=points
+        demoted, {"prev": PREV, "current_time": whole(F.max, _current_time())}, hot=hot
     )
     settled = seen.withColumn(
         "type",
@@ -237,14 +240,15 @@ def mean_center(points: DataFrame, keys: Sequence[str] = STORM) -> DataFrame:
     return points.groupBy(*keys).agg(F.avg("lat").alias("center_lat"), F.avg("lon").alias("center_lon"))
 
 
-def warning_center(forecast: DataFrame, best: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """First forecast point, else the last best-track point (by ``rank``)."""
-    keys = list(keys)
+def warning_center(points: DataFrame, keys: Sequence[str], ahead: Column, seen: Column) -> DataFrame:
+    """First point that is ``ahead`` (forecast), else the last that was ``seen``, by ``rank``."""
     spot = F.struct("lat", "lon")
-    first = forecast.groupBy(*keys).agg(F.min_by(spot, "rank").alias("_f"))
-    last = best.groupBy(*keys).agg(F.max_by(spot, "rank").alias("_b"))
-    both = first.join(last, keys, "full").withColumn("_c", F.coalesce("_f", "_b"))
-    return both.select(*keys, F.col("_c.lat").alias("center_lat"), F.col("_c.lon").alias("center_lon"))
+    first = F.min_by(spot, F.when(ahead, F.col("rank")))
+    last = F.max_by(spot, F.when(seen, F.col("rank")))
+    centers = points.groupBy(*keys).agg(F.coalesce(first, last).alias("_c"))
+    return centers.filter(F.col("_c").isNotNull()).select(
+        *keys, F.col("_c.lat").alias("center_lat"), F.col("_c.lon").alias("center_lon")
+    )
 
 
 def last_leg_speed(points: DataFrame, keys: Sequence[str] = STORM) -> DataFrame:
@@ -293,7 +297,7 @@ def time_interpolate(
     )
     wanted = {f"_b_{v}": last_known(known(v)) for v in values}
     wanted |= {f"_a_{v}": next_known(known(v)) for v in values}
-    seen = along(line, wanted, sizes=line).filter(F.col("fhr").isNotNull())
+    seen = along(line, wanted).filter(F.col("fhr").isNotNull())
 
     def at(v: str) -> Column:
         before, after, now = F.col(f"_b_{v}"), F.col(f"_a_{v}"), F.unix_micros("advisory_time")
@@ -307,14 +311,19 @@ def time_interpolate(
     return seen.select("storm_id", "fhr", "advisory_time", *[at(v) for v in values])
 
 
-def cone_edges(points: DataFrame, error: str = "cone_error_km", keys: Sequence[str] = STORM) -> DataFrame:
+def cone_edges(
+    points: DataFrame,
+    error: str = "cone_error_km",
+    keys: Sequence[str] = STORM,
+    hot: HotKeys | None = None,
+) -> DataFrame:
     """Left and right edge points of the cone at each forecast hour ``fhr``.
 
     Heading to the next point; the last point keeps the heading from the one before,
     and a single point heads north.
     """
     seen = with_ordered(
-        points, keys, ["fhr"], {"prev": previous("lat", "lon"), "next": following("lat", "lon")}
+        points, keys, ["fhr"], {"prev": previous("lat", "lon"), "next": following("lat", "lon")}, hot=hot
     )
     lat, lon = F.col("lat"), F.col("lon")
     heading = (
@@ -331,9 +340,9 @@ def cone_edges(points: DataFrame, error: str = "cone_error_km", keys: Sequence[s
     return headed.withColumns(sides).drop("prev", "next")
 
 
-def cone_ring(edges: DataFrame, keys: Sequence[str] = STORM) -> DataFrame:
+def cone_ring(edges: DataFrame, keys: Sequence[str] = STORM, hot: HotKeys | None = None) -> DataFrame:
     """The polygon as rows: left edge onwards, then right edge backwards."""
-    placed = with_ordered(edges, keys, ["fhr"], {"pos": position(), "n": row_count()})
+    placed = with_ordered(edges, keys, ["fhr"], {"pos": position(), "n": row_count()}, hot=hot)
     left = F.struct(F.col("pos").alias("ring_seq"), F.col("left_lat").alias("lat"), F.col("left_lon").alias("lon"))
     right = F.struct(
         (F.col("n") * 2 + 1 - F.col("pos")).alias("ring_seq"),

@@ -9,6 +9,7 @@ from galeframe.functions import text
 from galeframe.operators import advisories as adv
 from galeframe.operators import grid_stats
 from galeframe.operators import placemarks as pm
+from galeframe.operators.ordered import hot_keys
 from galeframe.plans import sqlkit as q
 from galeframe.plans import views
 from galeframe.plans.registry import query, r6, rounded
@@ -25,7 +26,7 @@ from galeframe.plans.views import (
     signed_text,
     table,
 )
-from galeframe.session import scratch_dir
+from galeframe.session import checkpointed, scratch_dir
 from galeframe.sources import documents, markup
 
 # --- bulletins and feeds ---------------------------------------------------------
@@ -371,7 +372,7 @@ def _(spark, sf):
 
 @query("history_path", f"WITH {INITIAL_SQL} SELECT storm_id, row_number() OVER (PARTITION BY storm_id ORDER BY adv) AS pos, adv, lat, lon FROM it")
 def _(spark, sf):
-    return adv.history_path(adv.initial_points(filled(spark, sf)))
+    return adv.history_path(adv.initial_points(filled(spark, sf)), storm_sizes(spark, sf))
 
 
 PARSED_TIME = (
@@ -387,8 +388,13 @@ MOVE_SQL = (
 )
 
 
+def storm_sizes(spark, sf):
+    """Size check by storm on the raw points, which outnumber the advisories."""
+    return hot_keys(views.advisory_rows(spark, sf)[0], ["storm_id"])
+
+
 def movement(spark, sf):
-    return adv.advisory_movement(adv.initial_points(filled(spark, sf)))
+    return adv.advisory_movement(adv.initial_points(filled(spark, sf)), storm_sizes(spark, sf))
 
 
 @query("advisory_movement", f"WITH {MOVE_SQL} SELECT storm_id, adv, ROUND(speed_kmh,6) AS speed_kmh, ROUND(bearing,6) AS bearing, direction FROM mo")
@@ -406,9 +412,11 @@ def _(spark, sf):
     "FROM mv JOIN mo USING (storm_id, adv) JOIN c USING (storm_id, adv) JOIN h USING (storm_id) WHERE rn=1",
 )
 def _(spark, sf):
-    points = filled(spark, sf)
-    initials = adv.initial_points(points)
-    return adv.storm_summary(points, initials, adv.advisory_movement(initials))
+    points, _ = views.advisory_rows(spark, sf)
+    # Four parts of the summary read the initial points, so they are computed once.
+    initials = checkpointed(adv.initial_points(filled(spark, sf)))
+    moved = adv.advisory_movement(initials, storm_sizes(spark, sf))
+    return adv.storm_summary(points, initials, moved)
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from galeframe import sinks
 from galeframe.functions import classify, geo, times, units
 from galeframe.operators import grid_stats, tracks
-from galeframe.operators.ordered import position
+from galeframe.operators.ordered import hot_keys, position
 from galeframe.plans import sqlkit as q
 from galeframe.plans import views
 from galeframe.plans.registry import micros, query, r6, rounded
@@ -346,9 +346,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     points = track(spark, sf).withColumn("rank", F.struct("advisory_time", "seq"))
-    forecast = points.filter("type = 'forecast' AND storm_id % 3 <> 0")
-    best = points.filter("type <> 'forecast'")
-    warn = tracks.warning_center(forecast, best, ["storm_id"])
+    ahead = (F.col("type") == "forecast") & (F.col("storm_id") % 3 != 0)
+    warn = tracks.warning_center(points, ["storm_id"], ahead, F.col("type") != "forecast")
     return tracks.mean_center(points).join(warn.withColumnsRenamed({"center_lat": "warn_lat", "center_lon": "warn_lon"}), "storm_id").select(
         "storm_id", r6("center_lat").alias("mean_lat"), r6("center_lon").alias("mean_lon"), "warn_lat", "warn_lon"
     )
@@ -433,9 +432,9 @@ EDGES_SQL = (
 )
 
 
-def edges(spark, sf):
+def edges(spark, sf, hot=None):
     fc = forecast_points(spark, sf)
-    return tracks.cone_edges(fc.withColumn("cone_error_km", classify.cone_error(F.col("fhr"))))
+    return tracks.cone_edges(fc.withColumn("cone_error_km", classify.cone_error(F.col("fhr"))), hot=hot)
 
 
 @query(
@@ -455,7 +454,8 @@ def _(spark, sf):
     "ROUND(left_lon,6) AS lon FROM p UNION ALL SELECT storm_id, 2*n+1-i, ROUND(right_lat,6), ROUND(right_lon,6) FROM p",
 )
 def _(spark, sf):
-    return rounded(tracks.cone_ring(edges(spark, sf)), "lat", "lon")
+    hot = hot_keys(forecast_points(spark, sf), ["storm_id"])
+    return rounded(tracks.cone_ring(edges(spark, sf, hot), hot=hot), "lat", "lon")
 
 
 @query(

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galeframe.session import checkpointed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -117,8 +119,13 @@ CELLS_SQL = (
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense frames: every cell of every forecast hour, null where there is no data."""
-    sums = (
+    """Dense frames: every cell of every forecast hour, null where there is no data.
+
+    The sums come to one row per hour and cell whatever the size of the table. They
+    are kept, so that a query that goes over the cells more than once still reads the
+    table once.
+    """
+    sums = checkpointed(
         table(spark, sf_dir, "lineitem")
         .selectExpr(*CELL_KEYS, "l_quantity", "l_discount", "l_tax")
         .groupBy("fff", "lat_idx", "lon_idx")

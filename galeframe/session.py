@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings. They may be set on a running session, so a caller that
 # brings its own session gets the same results.
@@ -15,6 +15,9 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join input even where that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The JVM does not compile methods over 8000 bytes; wide projections run faster
+    # when such a stage falls back to separately compiled expressions.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
@@ -36,3 +39,18 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     base = shared or tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/galeframe/{label}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read back from the reliable checkpoint folder.
+
+    Used for small results that two branches of a plan must agree on, also after an
+    executor is lost. The folder is the session's; one is set only if there is none.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(
+            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+        )
+    return df.checkpoint(eager=True)

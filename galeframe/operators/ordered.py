@@ -15,6 +15,7 @@ them, with at most 2 * rows/limit cut points in total, whatever the data.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from galeframe.session import checkpointed
 
-HOT_ROWS = 2_000_000
-HOT_PIECES = 512
+HOT_ROWS = 1_000_000
+HOT_PIECES = 2048
 
 
 def hot_limits(df: DataFrame) -> tuple[int, int]:
@@ -63,36 +64,45 @@ def cut_hot_keys(df: DataFrame, keys: Sequence[str], order: Column, hot: DataFra
     """
     limit, pieces = hot_limits(df)
     keys = list(keys)
-    fractions = [i / pieces for i in range(1, pieces)]
+    fractions = ", ".join(repr(i / pieces) for i in range(1, pieces))
     # Keep about n/limit of the candidate cut points.
     stride = F.greatest(
         F.lit(1), F.floor(F.lit(pieces) / F.ceil(F.col("_n") / F.lit(limit)))
     )
+    # Cut points lie in blocks, so that finding a piece looks at the head of every
+    # block and then into one block.
+    width = math.isqrt(pieces) + 1
+    block = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / width).cast("int")),
+        lambda j: F.slice("_cuts", j * width + 1, F.lit(width)),
+    )
     # Approximate percentiles may differ between two evaluations, and rows and carried
     # values must use the same pieces, so the cut points are computed once and kept.
     cuts = checkpointed(
         df.select(*keys, order.cast("double").alias("_o"))
         .join(F.broadcast(hot), keys)
         .groupBy(*keys, "_n")
-        .agg(F.percentile_approx("_o", fractions).alias("_q"))
+        .agg(F.expr(f"percentile_approx(_o, array({fractions}), {5 * pieces})").alias("_q"))
         .select(
             *keys,
-            F.array_distinct(
-                F.filter("_q", lambda q, i: (i + 1) % stride == 0)
-            ).alias("_cuts"),
+            F.array_distinct(F.filter("_q", lambda q, i: (i + 1) % stride == 0)).alias("_cuts"),
         )
+        .filter(F.size("_cuts") > 0)
+        .select(*keys, block.alias("_blocks"))
+        .withColumn("_heads", F.transform("_blocks", lambda b: b[0]))
     )
+    at = order.cast("double")
+    passed = lambda points: F.size(F.filter(points, lambda c: c < at))
+    marked = df.join(F.broadcast(cuts), keys, "left").withColumn("_block", passed("_heads"))
+    inside = passed(F.get("_blocks", F.col("_block") - 1))
     return (
-        df.join(F.broadcast(cuts), keys, "left")
-        .withColumn("_hot", F.col("_cuts").isNotNull())
+        marked.withColumn("_hot", F.col("_heads").isNotNull())
         .withColumn(
             "_piece",
-            F.when(
-                F.col("_hot"),
-                F.size(F.filter("_cuts", lambda c: c < order.cast("double"))),
-            ).otherwise(F.lit(0)),
+            F.when(F.col("_hot") & (F.col("_block") > 0), (F.col("_block") - 1) * width + inside)
+            .otherwise(F.lit(0)),
         )
-        .drop("_cuts")
+        .drop("_blocks", "_heads", "_block")
     )
 
 

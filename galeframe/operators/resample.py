@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galeframe.operators.stencil import by_frame
+
 
 def cubic_weight(distance: Column) -> Column:
     """Cubic convolution kernel with a = -0.5, zero from distance 2 on."""
@@ -46,10 +50,47 @@ def _stretch(cells: DataFrame, keys: list[str], axis: str, other: str, size: int
     )
 
 
-def bicubic_upsample(cells: DataFrame, keys: Sequence[str], shape: tuple[int, int], factor: int) -> DataFrame:
-    """Dense frames of ``shape`` to frames ``factor`` times as tall and wide."""
+def _axis_weights(size: int, factor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised weights of an axis, target by source, and which sources are in reach."""
+    gap = (np.arange(size * factor)[:, None] + 0.5) / factor - np.arange(size)[None, :] - 0.5
+    d = np.abs(gap)
+    near = (1.5 * d - 2.5) * d * d + 1.0
+    far = ((-0.5 * d + 2.5) * d - 4.0) * d + 2.0
+    weights = np.where(d < 1, near, np.where(d < 2, far, 0.0))
+    return weights / weights.sum(axis=1, keepdims=True), (d < 2).astype(float)
+
+
+def _per_frame(cells: DataFrame, keys: list[str], shape: tuple[int, int], factor: int) -> DataFrame:
+    """Both axes of a frame at once; source and result have fixed sizes."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        (down, near_down), (across, near_across) = (_axis_weights(n, factor) for n in shape)
+        grid = np.full(shape, np.nan)
+        grid[pdf["lat_idx"], pdf["lon_idx"]] = pdf["value"]
+        missing = np.isnan(grid)
+        dense = down @ np.where(missing, 0.0, grid) @ across.T
+        dense[near_down @ missing @ near_across.T > 0] = np.nan
+        rows, cols = np.indices(dense.shape)
+        head = {k: pdf[k].iloc[0] for k in keys}
+        return pd.DataFrame(
+            {**head, "lat_idx": rows.ravel().astype("int32"), "lon_idx": cols.ravel().astype("int32"), "value": dense.ravel()}
+        )
+
+    out = cells.groupBy(*(keys or [F.lit(0)])).applyInPandas(one, cells.schema)
+    return out.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+
+
+def bicubic_upsample(
+    cells: DataFrame, keys: Sequence[str], shape: tuple[int, int], factor: int, strategy: str = "auto"
+) -> DataFrame:
+    """Dense frames of ``shape`` to frames ``factor`` times as tall and wide.
+
+    ``strategy`` as for the stencils; the size that counts is that of the result.
+    """
     keys = list(keys)
     base = cells.select(*keys, "lat_idx", "lon_idx", "value")
+    if by_frame(strategy, shape[0] * shape[1] * factor * factor):
+        return _per_frame(base, keys, shape, factor)
     tall = _stretch(base, keys, "lat_idx", "lon_idx", shape[0], factor)
     wide = _stretch(tall, keys, "lon_idx", "lat_idx", shape[1], factor)
     return wide.select(*keys, "lat_idx", "lon_idx", "value")

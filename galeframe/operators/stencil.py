@@ -4,7 +4,8 @@ Scatter form: each cell sends its weighted value to the cells around it, with th
 border rule folded into the target index, and the targets add up. The sums combine
 map-side, so the shuffle carries about one row per cell, and no join and no
 whole-frame task is needed.  ``strategy="frame"`` is the second physical form: one
-numpy pass per frame, for many frames of a known, fixed shape.
+numpy pass per frame of the given shape, with a single shuffle.  ``"auto"`` takes it
+for wide kernels on frames that are worth a Python call and surely fit into a task.
 """
 
 from __future__ import annotations
@@ -17,6 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Cells of a frame between which "auto" works frame by frame (8 bytes per cell).
+FRAME_CELLS = (100_000, 8_000_000)
+
+
+def by_frame(strategy: str, cells: int) -> bool:
+    """Is a frame of this many cells handled as one array?"""
+    low, high = FRAME_CELLS
+    return strategy == "frame" or (strategy == "auto" and low <= cells <= high)
+
+
 def clamped(index: Column, size: int) -> Column:
     """Border rule: repeat the edge."""
     return F.greatest(F.lit(0), F.least(F.lit(size - 1), index))
@@ -56,13 +67,13 @@ def gaussian(
     keys: Sequence[str],
     sigma: float,
     shape: tuple[int, int],
-    strategy: str = "scatter",
+    strategy: str = "auto",
 ) -> DataFrame:
     """Gaussian smoothing of dense frames; missing counts as 0, borders reflect."""
     keys = list(keys)
     base = cells.select(*keys, "lat_idx", "lon_idx", F.coalesce("value", F.lit(0.0)).alias("value"))
     weights = gaussian_weights(sigma)
-    if strategy == "frame":
+    if by_frame(strategy, shape[0] * shape[1]):
         return _per_frame(base, keys, shape, lambda grid: _smooth(_smooth(grid, weights, 0), weights, 1))
     rows = _pass(base, keys, "lat_idx", "lon_idx", shape[0], weights)
     both = _pass(rows, keys, "lon_idx", "lat_idx", shape[1], weights)

@@ -64,11 +64,11 @@ def forward_motion(points: DataFrame) -> DataFrame:
     return _motion(along(points, {"prev": PREV})).drop("prev")
 
 
-def _current_time() -> Column:
+def current_time() -> Column:
     return F.when(F.col("type") == "current", F.col("advisory_time"))
 
 
-def _describe(points: DataFrame, given_radius: Column | None = None) -> DataFrame:
+def describe(points: DataFrame, given_radius: Column | None = None) -> DataFrame:
     """Units, icon, motion and cone from the columns ``prev`` and ``current_time``."""
     lead = hours_between(F.col("current_time"), F.col("advisory_time"))
     return (
@@ -92,8 +92,8 @@ def enrich_track(points: DataFrame, given_radius: str | None = None) -> DataFram
     forecast point gets the smallest radius. ``given_radius`` names a column with
     the source's own radius, which wins where present.
     """
-    seen = along(points, {"prev": PREV, "current_time": whole(F.min, _current_time())})
-    return _describe(seen, F.col(given_radius) if given_radius else None)
+    seen = along(points, {"prev": PREV, "current_time": whole(F.min, current_time())})
+    return describe(seen, F.col(given_radius) if given_radius else None)
 
 
 def dedupe_track(points: DataFrame, newest: Sequence[str] = ("batch_seq", "seq")) -> DataFrame:
@@ -134,7 +134,7 @@ def fold_batches(points: DataFrame, batch: str = "batch_seq") -> DataFrame:
         ).otherwise(F.col("type")),
     ).drop("_last")
     seen = along(
-        demoted, {"prev": PREV, "current_time": whole(F.max, _current_time())}, hot=hot
+        demoted, {"prev": PREV, "current_time": whole(F.max, current_time())}, hot=hot
     )
     settled = seen.withColumn(
         "type",
@@ -143,7 +143,7 @@ def fold_batches(points: DataFrame, batch: str = "batch_seq") -> DataFrame:
             F.lit("past"),
         ).otherwise(F.col("type")),
     )
-    return _describe(settled)
+    return describe(settled)
 
 
 def merge_track(stored: DataFrame, new: DataFrame) -> DataFrame:

@@ -97,12 +97,28 @@ def stretch(grid, factor, axis):
     return np.stack(rows, axis=axis) if axis == 0 else np.stack(rows, axis=1)
 
 
-def test_bicubic(spark):
-    grid = RNG.normal(size=(6, 6))
-    got = array(resample.bicubic_upsample(frame(spark, grid, fff=0), ["fff"], (6, 6), 10), (60, 60))
+@pytest.mark.parametrize("strategy", ["scatter", "frame"])
+def test_bicubic(spark, strategy):
+    grid = RNG.normal(size=(6, 7))
+    got = array(resample.bicubic_upsample(frame(spark, grid, fff=0), ["fff"], (6, 7), 10, strategy), (60, 70))
     np.testing.assert_allclose(got, stretch(stretch(grid, 10, 0), 10, 1), atol=1e-12)
 
 
+def test_bicubic_strategies_agree_on_missing_cells(spark):
+    grid = RNG.normal(size=(8, 8))
+    grid[2, 5] = np.nan
+    cells = frame(spark, grid, fff=0)
+    one, two = (array(resample.bicubic_upsample(cells, ["fff"], (8, 8), 3, s), (24, 24)) for s in ("scatter", "frame"))
+    assert 0 < np.isnan(one).sum() < 24 * 24
+    np.testing.assert_allclose(one, two, atol=1e-12)
+
+
+def test_strategy_follows_the_frame_size():
+    assert not stencil.by_frame("auto", 2_145)
+    assert stencil.by_frame("auto", 721 * 1440)
+    assert not stencil.by_frame("auto", 100_000_000)
+
+
 def test_upsample_stats(spark):
     crop = frame(spark, RNG.normal(size=(6, 6)), fff=0)
     row = resample.upsample_stats(crop, resample.bicubic_upsample(crop, ["fff"], (6, 6), 10), ["fff"]).first()

@@ -453,7 +453,7 @@ def _(spark, sf):
 
 @query(
     "precip_layer_join",
-    f"{W} SELECT {ID}, ROUND(prate,8) AS prate, CASE WHEN fff=6 THEN 0e0 ELSE crain END AS crain, "
+    f"{W} SELECT {ID}, ROUND(prate,12) AS prate, CASE WHEN fff=6 THEN 0e0 ELSE crain END AS crain, "
     "CASE WHEN fff=9 THEN 0e0 ELSE csnow END AS csnow FROM cells WHERE fff<>3",
 )
 def _(spark, sf):
@@ -462,7 +462,7 @@ def _(spark, sf):
         "NOT (fff = 3 AND variable = 'prate' OR fff = 6 AND variable = 'crain' OR fff = 9 AND variable = 'csnow')"
     )
     out = layers.precip_layers(long, ["fff"])
-    return out.withColumn("prate", F.round("prate", 8))
+    return out.withColumn("prate", F.round("prate", 12))
 
 
 @query(

@@ -341,7 +341,7 @@ def _(spark, sf):
     "m AS (SELECT storm_id, avg(lat) AS alat, avg(lon) AS alon FROM track GROUP BY 1), "
     "c AS (SELECT coalesce(f.storm_id,b.storm_id) AS storm_id, coalesce(f.lat,b.lat) AS clat, "
     "coalesce(f.lon,b.lon) AS clon FROM f FULL JOIN b ON f.storm_id=b.storm_id) "
-    "SELECT storm_id, ROUND(alat,6) AS mean_lat, ROUND(alon,6) AS mean_lon, clat AS warn_lat, clon AS warn_lon "
+    "SELECT storm_id, ROUND(alat,10) AS mean_lat, ROUND(alon,10) AS mean_lon, clat AS warn_lat, clon AS warn_lon "
     "FROM m JOIN c USING (storm_id)",
 )
 def _(spark, sf):
@@ -349,7 +349,7 @@ def _(spark, sf):
     ahead = (F.col("type") == "forecast") & (F.col("storm_id") % 3 != 0)
     warn = tracks.warning_center(points, ["storm_id"], ahead, F.col("type") != "forecast")
     return tracks.mean_center(points).join(warn.withColumnsRenamed({"center_lat": "warn_lat", "center_lon": "warn_lon"}), "storm_id").select(
-        "storm_id", r6("center_lat").alias("mean_lat"), r6("center_lon").alias("mean_lon"), "warn_lat", "warn_lon"
+        "storm_id", F.round("center_lat", 10).alias("mean_lat"), F.round("center_lon", 10).alias("mean_lon"), "warn_lat", "warn_lon"
     )
 
 

@@ -7,14 +7,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from galeframe.plans import QUERIES as PLANS
 
 DATA = os.environ.get("TEST_SF_DIR", entry_points.SMALL)
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
-QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
+QUERIES = {name: entry_points.queries()[name] for name in PLANS}
+SQL = {name: sql for name, sql in entry_points.oracle_sql().items() if name in PLANS}
 
 
 @pytest.fixture(scope="module")

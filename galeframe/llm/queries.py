@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galeframe.llm import bpe, langid, media, packing, repair, toxicity
+from galeframe.llm import bpe, html, langid, media, packing, repair, toxicity
 from galeframe.llm.ranks import vocabulary
 from galeframe.llm.support import ready, table
 from galeframe.session import scratch_dir
@@ -28,6 +28,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_html")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.train(pages))
+
+
 @query("op3_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))

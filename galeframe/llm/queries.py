@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galeframe.llm import bpe, html, langid, media, packing, repair, toxicity
+from galeframe.llm import ann, bpe, html, jaccard, langid, media, packing, repair, toxicity
 from galeframe.llm.ranks import vocabulary
 from galeframe.llm.support import ready, table
 from galeframe.session import scratch_dir
@@ -39,6 +39,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@query("op4_neighbours")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 @query("op5_repair_ids")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "ids")
@@ -62,6 +68,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+@query("op9_jaccard")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 @query("op10_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

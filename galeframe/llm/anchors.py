@@ -14,7 +14,7 @@ from galeframe.llm.ranks import mixed, powers, word_hashes
 
 _LOW = np.uint64((1 << 24) - 1)
 # Text handled at a time; positions in a piece have 24 bits.
-PIECE = 1 << 21
+PIECE = 1 << 16
 
 
 def _chosen(text: np.ndarray, window: int, k: int) -> np.ndarray:
@@ -44,17 +44,17 @@ def anchors(text: np.ndarray, offsets: np.ndarray, window: int, k: int) -> dict[
     the distances.
     """
     parts = []
-    for first, last, base in _pieces(offsets, window):
+    for first, last in _pieces(offsets, window):
         piece = text[first:last]
-        rows = offsets[np.searchsorted(offsets, first, "right") - 1 :]
-        rows = rows[: np.searchsorted(rows, last, "left") + 1]
         if len(piece) < window:
             continue
         chosen = _chosen(piece, window, k)
-        start = np.arange(len(chosen)) + first
-        owner = np.searchsorted(offsets, start, "right") - 1
-        inside = start + window <= offsets[owner + 1]
-        inside &= start >= base
+        # Texts that meet the piece, and the windows that lie within one of them.
+        a, b = np.searchsorted(offsets, first, "right") - 1, np.searchsorted(offsets, first + len(chosen), "left")
+        bounds = np.clip(offsets[a : b + 1] - first, 0, len(chosen))
+        owner = np.repeat(np.arange(a, b), np.diff(bounds))
+        start = np.arange(first, first + len(chosen))
+        inside = start <= np.repeat(offsets[a + 1 : b + 1] - window, np.diff(bounds))
         start, chosen, owner = start[inside], chosen[inside] + first, owner[inside]
         if not len(start):
             continue
@@ -73,10 +73,10 @@ def anchors(text: np.ndarray, offsets: np.ndarray, window: int, k: int) -> dict[
 
 
 def _pieces(offsets: np.ndarray, window: int):
-    """(first byte, end, first window) of pieces; a text may span several, which overlap
+    """(first byte, end) of pieces; a text may span several, which overlap
     by a window less one byte so that each window falls in one of them."""
     at, end = int(offsets[0]), int(offsets[-1])
     while at < end:
         last = min(end, at + PIECE)
-        yield at, min(end, last + window - 1), at
+        yield at, min(end, last + window - 1)
         at = last

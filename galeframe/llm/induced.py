@@ -2,8 +2,8 @@
 
 The suffixes that start a descent after an ascent (leftmost S-type, LMS) are sorted
 first: an induction over the text sorts the substrings between them, names replace the
-substrings, and the shorter text of names is sorted by the same procedure.  Two further
-inductions carry that order to all suffixes.  Each reads a priority queue of suffix tuples
+substrings, and the shorter text of names is sorted by the same procedure, down to a text
+that fits in memory.  Two further inductions carry that order to all suffixes.  Each reads a priority queue of suffix tuples
 (symbol, turn, position, common prefix) and puts back the suffix one position earlier; the
 common prefix of neighbours travels in the tuples, as one more than the least common
 prefix met between their two origins.
@@ -25,6 +25,10 @@ from galeframe.llm.ranks import ragged
 
 # Tuples a queue holds in memory before it spills.
 MEMORY = 1 << 21
+# Symbols of a text that are looked at together.
+PIECE = 1 << 18
+# A shorter text of at most so many names is sorted in memory.
+IN_MEMORY = 1 << 22
 # Tuples of a symbol range of the shorter texts, about.
 RANGE = 4096
 _TUPLE = np.dtype([("at", "<i8"), ("common", "<i2")])
@@ -78,13 +82,17 @@ class Queue:
 
 def _types(text: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one (S-type)."""
-    n = len(text)
-    step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1])
-    step[-1] = -1
-    decided = np.where(step != 0, np.arange(n), n)
-    decided = np.minimum.accumulate(decided[::-1])[::-1]
-    return step[decided] > 0
+    out = np.zeros(len(text), bool)
+    behind = False  # type of what follows the piece
+    for b in range(len(text), 0, -PIECE):
+        a = max(0, b - PIECE)
+        here = text[a:b].astype(np.int64)
+        step = np.sign(np.diff(np.append(here, text[b] if b < len(text) else -1)))
+        decided = np.where(step != 0, np.arange(b - a), b - a)
+        decided = np.minimum.accumulate(decided[::-1])[::-1]
+        out[a:b] = np.append(step > 0, behind)[decided]
+        behind = out[a]
+    return out
 
 
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
@@ -291,13 +299,15 @@ def lms_order(text: np.ndarray, symbols: int, folder: str, memory: int = MEMORY)
     size = np.diff(np.append(lms, len(text))) + 1
     size[-1] -= 1
     length = size[number[order]]
-    pairs = np.flatnonzero(length[1:] == length[:-1])
     same = np.zeros(len(order), bool)
-    flat_a, flat_b = ragged(order[pairs], length[pairs]), ragged(order[pairs + 1], length[pairs])
-    differ = text[flat_a] != text[flat_b]
-    clean = np.ones(len(pairs), bool)
-    clean[np.searchsorted(np.cumsum(length[pairs]), np.flatnonzero(differ), "right")] = False
-    same[pairs[clean] + 1] = True
+    every = np.flatnonzero(length[1:] == length[:-1])
+    for a in range(0, len(every), PIECE // 4):
+        pairs = every[a : a + PIECE // 4]
+        flat_a, flat_b = ragged(order[pairs], length[pairs]), ragged(order[pairs + 1], length[pairs])
+        differ = text[flat_a] != text[flat_b]
+        clean = np.ones(len(pairs), bool)
+        clean[np.searchsorted(np.cumsum(length[pairs]), np.flatnonzero(differ), "right")] = False
+        same[pairs[clean] + 1] = True
     # The last substring ends with the text, so it equals no other.
     at_last = int(np.flatnonzero(order == lms[-1])[0])
     same[at_last] = False
@@ -311,12 +321,36 @@ def lms_order(text: np.ndarray, symbols: int, folder: str, memory: int = MEMORY)
     return lms[suffix_order(shorter, int(name[-1]) + 1, folder, memory)]
 
 
+def _doubled(text: np.ndarray) -> np.ndarray:
+    """All suffixes in order, in memory: what is still tied is sorted by twice the length."""
+    n, size = len(text), 1
+    order = np.argsort(text, kind="stable")
+    if not n:
+        return order
+    fresh = np.r_[True, text[order[1:]] != text[order[:-1]]]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    while True:
+        tied = ~(fresh & np.append(fresh[1:], True))
+        spot = np.flatnonzero(tied)
+        if not len(spot):
+            return order
+        mine = order[spot]
+        behind = np.where(mine + size < n, rank[np.minimum(mine + size, n - 1)] + 1, 0)
+        key = rank[mine] * (n + 1) + behind
+        inner = np.argsort(key, kind="stable")
+        order[spot] = mine[inner]
+        key = key[inner]
+        fresh[spot] |= np.r_[True, key[1:] != key[:-1]]
+        rank[order[spot]] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))[spot]
+        size *= 2
+
+
 def suffix_order(text: np.ndarray, symbols: int, folder: str, memory: int = MEMORY) -> np.ndarray:
     """All suffixes in order; the end of the text is smaller than any symbol."""
     n = len(text)
-    if n < 32:
-        rows = text.tolist()
-        return np.array(sorted(range(n), key=lambda i: rows[i:]), np.int64)
+    if n <= IN_MEMORY:
+        return _doubled(text)
     smaller = _types(text)
     first = lms_order(text, symbols, folder, memory)
     large, small, parts = _both(text, smaller, first, symbols, folder, memory)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galeframe.llm import ann, bpe, html, jaccard, langid, media, packing, repair, toxicity
+from galeframe.llm import ann, bpe, html, jaccard, langid, media, packing, repair, suffix_dedup, toxicity
 from galeframe.llm.ranks import vocabulary
 from galeframe.llm.support import ready, table
 from galeframe.session import scratch_dir
@@ -34,6 +34,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages, html.train(pages))
 
 
+@query("op2_suffixes")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 @query("op3_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))

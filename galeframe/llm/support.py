@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import site
 import tempfile
@@ -54,6 +55,9 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     Cuts lineage: every later reader sees the same rows, also after a lost executor.
     """
     path = scratch_dir(df.sparkSession, label)
+    # Lets Spark drop the shuffle files of tables that were written before.
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.support import mapped, utf8
+from galeframe.llm.support import extended, mapped, utf8
 from galeframe.llm.words import distinct, doc_blocks, letter_words, lowered
 
 # Bounds of the labelled sample: texts drawn per language (expected number) and bytes of
@@ -168,6 +168,42 @@ def train(docs: DataFrame) -> Model:
     return fit(sample(known.select("doc_id", "lang", "text")))
 
 
+_LETTER = regex.compile(r"\p{L}")
+
+
+def _named(model: Model, text: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and score of every text."""
+    rows, kinds = len(offsets) - 1, len(model.languages)
+    cost, letters = np.zeros((kinds, rows)), np.zeros(rows)
+    for a, b in doc_blocks(offsets):
+        block = lowered(text[offsets[a] : offsets[b]])
+        heads = offsets[a:b] - offsets[a]
+        begin, end = letter_words(block, heads[heads < len(block)])
+        owner = np.searchsorted(heads, begin, "right") - 1
+        if (end - begin > LONG_WORD).any():
+            number = -(-(end - begin) // LONG_WORD)
+            spot = np.repeat(np.arange(len(begin)), number)
+            first = begin[spot] + LONG_WORD * (np.arange(len(spot)) - np.repeat(np.cumsum(number) - number, number))
+            begin, end, owner = first, np.minimum(first + LONG_WORD, end[spot]), owner[spot]
+        if not len(begin):
+            continue
+        one, kind = distinct(block, begin, end)
+        count = model.phrases(block, begin[one], end[one])
+        letters[a:b] = np.bincount(owner, end - begin, b - a)
+        for k in range(kinds):
+            cost[k, a:b] = np.bincount(owner, count[k][kind], b - a)
+    cost *= model.weight[:, None]
+    names, scores = ["und"] * rows, np.zeros(rows)
+    for i in np.flatnonzero(letters > 0) if kinds else ():
+        if not _LETTER.search(text[offsets[i] : offsets[i + 1]].tobytes().decode()):
+            continue
+        order = np.argsort(cost[:, i], kind="stable")
+        names[i] = model.languages[order[0]]
+        second = cost[order[1], i] if kinds > 1 else letters[i] * model.weight[0]
+        scores[i] = min(1.0, max(0.0, 1 - cost[order[0], i] / second)) if second else 0.0
+    return names, scores
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): the language of every whole text.
 
@@ -176,44 +212,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     Ties go to the first language by name.  Only doc_id and text are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    letter = regex.compile(r"\p{L}")
 
     def step(batch: pa.RecordBatch) -> dict:
-        fitted = shared.value
-        text, offsets = utf8(batch.column(1))
-        rows, kinds = len(offsets) - 1, len(fitted.languages)
-        cost, letters = np.zeros((kinds, rows)), np.zeros(rows)
-        for a, b in doc_blocks(offsets):
-            block = lowered(text[offsets[a] : offsets[b]])
-            heads = offsets[a:b] - offsets[a]
-            begin, end = letter_words(block, heads[heads < len(block)])
-            owner = np.searchsorted(heads, begin, "right") - 1
-            long = end - begin > LONG_WORD
-            if long.any():
-                number = -(-(end - begin) // LONG_WORD)
-                spot = np.repeat(np.arange(len(begin)), number)
-                first = begin[spot] + LONG_WORD * (np.arange(len(spot)) - np.repeat(np.cumsum(number) - number, number))
-                begin, end, owner = first, np.minimum(first + LONG_WORD, end[spot]), owner[spot]
-            if not len(begin):
-                continue
-            one, kind = distinct(block, begin, end)
-            count = fitted.phrases(block, begin[one], end[one])
-            letters[a:b] = np.bincount(owner, end - begin, b - a)
-            for k in range(kinds):
-                cost[k, a:b] = np.bincount(owner, count[k][kind], b - a)
-        cost *= fitted.weight[:, None]
-        names, scores = ["und"] * rows, np.zeros(rows)
-        for i in np.flatnonzero(letters > 0) if kinds else ():
-            if not letter.search(text[offsets[i] : offsets[i + 1]].tobytes().decode()):
-                continue
-            order = np.argsort(cost[:, i], kind="stable")
-            names[i] = fitted.languages[order[0]]
-            second = cost[order[1], i] if kinds > 1 else letters[i] * fitted.weight[0]
-            scores[i] = min(1.0, max(0.0, 1 - cost[order[0], i] / second)) if second else 0.0
+        names, scores = _named(shared.value, *utf8(batch.column(1)))
         return {"doc_id": batch.column(0), "held_out": batch.column(2), "lang_pred": names, "score": scores}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
     return mapped(rows, step, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-
+def named(docs: DataFrame, model: Model, column: str) -> DataFrame:
+    """``docs`` with all its columns and the language of each text in ``column``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return extended(docs, "text", lambda texts: {column: pa.array(_named(shared.value, *utf8(texts))[0])}, f"`{column}` string")

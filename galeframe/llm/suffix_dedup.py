@@ -219,10 +219,10 @@ def _removed(size: int, marks: list[dict] | None, length: int) -> np.ndarray:
 
 def _with_marks(docs: DataFrame, length: int, **options) -> DataFrame:
     marked = repeated_starts(docs, length, **options)
-    key = F.hash(F.coalesce("text", F.lit(""))).alias("_key")
-    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"), key)
-    marked = marked.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("marks").alias("_marks"))
-    return keyed.join(marked, ["_id", "_key"], "left").drop("_id", "_key")
+    key = F.hash(F.coalesce("text", F.lit(""))).alias("_gf_key")
+    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_gf_id"), key)
+    marked = marked.select(F.col("id").alias("_gf_id"), F.col("key").alias("_gf_key"), F.col("marks").alias("_gf_marks"))
+    return keyed.join(marked, ["_gf_id", "_gf_key"], "left").drop("_gf_id", "_gf_key")
 
 
 def digests(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
@@ -271,6 +271,6 @@ def cleaned(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
         return {"text": pa.array(texts, pa.string())} | {f"c{k}": batch.column(2 + k) for k in range(len(others))}
 
     schema = ", ".join(["text string", *(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(others))])
-    out = mapped(rows.select("text", "_marks", *others), step, schema)
+    out = mapped(rows.select("text", "_gf_marks", *others), step, schema)
     return out.select(*(F.col("text") if c == "text" else F.col(f"c{others.index(c)}").alias(c) for c in names))
 

@@ -13,6 +13,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from galeframe.session import prepare, scratch_dir
 
@@ -78,6 +79,22 @@ def mapped(df: DataFrame, step: Callable[[pa.RecordBatch], dict | None], schema:
     return df.mapInArrow(run, schema)
 
 
+def extended(df: DataFrame, column: str, step: Callable[[pa.Array], dict], schema: str) -> DataFrame:
+    """``df`` with the columns that ``step`` makes of one of its columns, without a shuffle."""
+    at, own = df.columns.index(column), len(df.columns)
+    numbered = df.toDF(*(f"c{k}" for k in range(own)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                new = {n: pa.array(v) if not isinstance(v, pa.Array) else v for n, v in step(batch.column(at)).items()}
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new.values()], [*batch.schema.names, *new])
+
+    extra = StructType.fromDDL(schema)
+    out = numbered.mapInArrow(run, StructType([*numbered.schema.fields, *extra.fields]))
+    return out.toDF(*df.columns, *extra.names)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of a column as one byte array, and the offsets of the rows (null: empty)."""
     column = column.fill_null("") if column.null_count else column

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galeframe.llm.ranks import mixed
-from galeframe.llm.support import mapped, utf8
+from galeframe.llm.support import extended, mapped, utf8
 from galeframe.llm.words import distinct, doc_blocks, letter_words, lowered, ragged, word_hashes
 
 # The chain, in its order: poor writing, toxic, and both at once.
@@ -183,6 +183,16 @@ def hash_of(doc_id: int) -> int:
     return int(mixed(np.array([doc_id], np.int64).view(np.uint64))[0])
 
 
+def _judged(chain: Chain, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the categories, and which texts are rejected."""
+    n = len(offsets) - 1
+    row, slot = features(text, offsets, chain.wanted())
+    p = chain.probabilities(row, slot, n)
+    some = np.zeros(n, bool)
+    some[row] = True
+    return p, (p[:, chain.categories.index("toxic")] >= REJECT) & some
+
+
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """(doc_id, junk, toxic, severe, rejected): probabilities for every whole text.
 
@@ -193,15 +203,15 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def step(batch: pa.RecordBatch) -> dict:
-        fitted = shared.value
-        text, offsets = utf8(batch.column(1))
-        n = len(offsets) - 1
-        row, slot = features(text, offsets, fitted.wanted())
-        p = fitted.probabilities(row, slot, n)
-        some = np.zeros(n, bool)
-        some[row] = True
-        out = {"doc_id": batch.column(0)} | {c: p[:, k] for k, c in enumerate(fitted.categories)}
-        return out | {"rejected": (p[:, fitted.categories.index("toxic")] >= REJECT) & some}
+        p, rejected = _judged(shared.value, *utf8(batch.column(1)))
+        return {"doc_id": batch.column(0)} | {c: p[:, k] for k, c in enumerate(shared.value.categories)} | {"rejected": rejected}
 
     columns = ", ".join(f"{c} double" for c in CATEGORIES)
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), step, f"doc_id long, {columns}, rejected boolean")
+
+
+def accepted(docs: DataFrame, chain: Chain) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text is not rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    marked = extended(docs, "text", lambda texts: {"_gf_rejected": _judged(shared.value, *utf8(texts))[1]}, "_gf_rejected boolean")
+    return marked.where("NOT _gf_rejected").drop("_gf_rejected")

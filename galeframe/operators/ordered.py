@@ -28,6 +28,13 @@ HOT_ROWS = 1_000_000
 HOT_PIECES = 2048
 
 
+def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null keys meet, with the columns of a using join."""
+    named = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return left.join(named, same, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def hot_limits(df: DataFrame) -> tuple[int, int]:
     """Rows per key above which it is cut, and the most pieces it is cut into."""
     conf = df.sparkSession.conf
@@ -80,7 +87,7 @@ def cut_hot_keys(df: DataFrame, keys: Sequence[str], order: Column, hot: DataFra
     # values must use the same pieces, so the cut points are computed once and kept.
     cuts = checkpointed(
         df.select(*keys, order.cast("double").alias("_o"))
-        .join(F.broadcast(hot), keys)
+        .transform(joined, hot, keys)
         .groupBy(*keys, "_n")
         .agg(F.expr(f"percentile_approx(_o, array({fractions}), {5 * pieces})").alias("_q"))
         .select(
@@ -93,7 +100,7 @@ def cut_hot_keys(df: DataFrame, keys: Sequence[str], order: Column, hot: DataFra
     )
     at = order.cast("double")
     passed = lambda points: F.size(F.filter(points, lambda c: c < at))
-    marked = df.join(F.broadcast(cuts), keys, "left").withColumn("_block", passed("_heads"))
+    marked = joined(df, cuts, keys, "left").withColumn("_block", passed("_heads"))
     inside = passed(F.get("_blocks", F.col("_block") - 1))
     return (
         marked.withColumn("_hot", F.col("_heads").isNotNull())
@@ -166,7 +173,7 @@ def running_sum(column: Column) -> Value:
         ),
         lambda f: F.sum(column),
         lambda f, t: F.sum(t).over(f.pieces.rowsBetween(Window.unboundedPreceding, -1)),
-        lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
+        lambda a, b: F.coalesce(a + b, a, b),
     )
 
 
@@ -246,7 +253,7 @@ def with_ordered(
         "_piece",
         *[v.local(frame).alias(f"_l_{n}") for n, v in values.items()],
     )
-    return local.join(F.broadcast(carried), keys + ["_piece"], "left").select(
+    return joined(local, carried, keys + ["_piece"], "left").select(
         *kept,
         *[
             v.combine(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n)

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.operators.stencil import by_frame
+from galeframe.operators.stencil import by_frame, every_cell, finite, framed
 
 
 def cubic_weight(distance: Column) -> Column:
@@ -20,7 +19,7 @@ def cubic_weight(distance: Column) -> Column:
     return F.when(d < 1, near).when(d < 2, far).otherwise(F.lit(0.0))
 
 
-def _stretch(cells: DataFrame, keys: list[str], axis: str, other: str, size: int, factor: int) -> DataFrame:
+def _stretch(cells: DataFrame, keys: list[str], axis: str, other: str, size: int, factor: int, extra: DataFrame) -> DataFrame:
     """One axis made ``factor`` times denser; pixel centres are aligned.
 
     A source cell reaches the targets whose centre is less than two source cells
@@ -35,17 +34,24 @@ def _stretch(cells: DataFrame, keys: list[str], axis: str, other: str, size: int
     weighted = sent.select(
         *keys, other, F.col("_t").alias(axis), "value", cubic_weight(gap).alias("_w"), gap.alias("_gap")
     ).filter(F.abs(F.col("_gap")) < 2)
+    # Sources less than two cells away that the axis has, whether or not the table does.
+    middle = (F.col(axis) + 0.5) / F.lit(float(factor)) - 0.5
+    first = F.greatest(F.lit(0.0), F.floor(middle - 2.0) + 1)
+    last = F.least(F.lit(float(size - 1)), F.ceil(middle + 2.0) - 1)
+    whole = F.col("_have") == last - first + 1
+    none = F.lit(None).cast("double")
     return (
-        weighted.groupBy(*keys, other, axis)
+        weighted.select(*keys, other, axis, "value", "_w")
+        .unionByName(extra.select(*keys, other, axis, none.alias("value"), none.alias("_w")))
+        .groupBy(*keys, other, axis)
         .agg(
             F.sum(F.col("value") * F.col("_w")).alias("_sum"),
             F.sum("_w").alias("_norm"),
             F.count("value").alias("_have"),
-            F.count(F.lit(1)).alias("_taps"),
         )
         .select(
             *keys, other, axis,
-            F.when(F.col("_have") == F.col("_taps"), F.col("_sum") / F.col("_norm")).alias("value"),
+            F.when(whole, F.col("_sum") / F.col("_norm")).alias("value"),
         )
     )
 
@@ -63,21 +69,15 @@ def _axis_weights(size: int, factor: int) -> tuple[np.ndarray, np.ndarray]:
 def _per_frame(cells: DataFrame, keys: list[str], shape: tuple[int, int], factor: int) -> DataFrame:
     """Both axes of a frame at once; source and result have fixed sizes."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        (down, near_down), (across, near_across) = (_axis_weights(n, factor) for n in shape)
-        grid = np.full(shape, np.nan)
-        grid[pdf["lat_idx"], pdf["lon_idx"]] = pdf["value"]
+    (down, near_down), (across, near_across) = (_axis_weights(n, factor) for n in shape)
+
+    def denser(grid: np.ndarray) -> np.ndarray:
         missing = np.isnan(grid)
         dense = down @ np.where(missing, 0.0, grid) @ across.T
         dense[near_down @ missing @ near_across.T > 0] = np.nan
-        rows, cols = np.indices(dense.shape)
-        head = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame(
-            {**head, "lat_idx": rows.ravel().astype("int32"), "lon_idx": cols.ravel().astype("int32"), "value": dense.ravel()}
-        )
+        return dense
 
-    out = cells.groupBy(*(keys or [F.lit(0)])).applyInPandas(one, cells.schema)
-    return out.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+    return framed(cells, keys, shape, denser)
 
 
 def bicubic_upsample(
@@ -88,11 +88,12 @@ def bicubic_upsample(
     ``strategy`` as for the stencils; the size that counts is that of the result.
     """
     keys = list(keys)
-    base = cells.select(*keys, "lat_idx", "lon_idx", "value")
+    base = cells.select(*keys, "lat_idx", "lon_idx", finite("value").alias("value"))
     if by_frame(strategy, shape[0] * shape[1] * factor * factor):
         return _per_frame(base, keys, shape, factor)
-    tall = _stretch(base, keys, "lat_idx", "lon_idx", shape[0], factor)
-    wide = _stretch(tall, keys, "lon_idx", "lat_idx", shape[1], factor)
+    extra = every_cell(base, keys, (shape[0] * factor, shape[1]))
+    tall = _stretch(base, keys, "lat_idx", "lon_idx", shape[0], factor, extra)
+    wide = _stretch(tall, keys, "lon_idx", "lat_idx", shape[1], factor, every_cell(base, keys, (shape[0] * factor, shape[1] * factor)).limit(0))
     return wide.select(*keys, "lat_idx", "lon_idx", "value")
 
 

@@ -6,6 +6,9 @@ map-side, so the shuffle carries about one row per cell, and no join and no
 whole-frame task is needed.  ``strategy="frame"`` is the second physical form: one
 numpy pass per frame of the given shape, with a single shuffle.  ``"auto"`` takes it
 for wide kernels on frames that are worth a Python call and surely fit into a task.
+
+Both forms mean the same: a frame that has any cell has a result for every cell of its
+shape, and absent cells, nulls, NaN and infinities are all missing.
 """
 
 from __future__ import annotations
@@ -14,9 +17,10 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 # Cells of a frame between which "auto" works frame by frame (8 bytes per cell).
 FRAME_CELLS = (100_000, 8_000_000)
@@ -28,6 +32,21 @@ def by_frame(strategy: str, cells: int) -> bool:
     return strategy == "frame" or (strategy == "auto" and low <= cells <= high)
 
 
+def finite(value: Column | str) -> Column:
+    """``value`` with NaN and infinities as null."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.when(F.abs(value) < float("inf"), value)
+
+
+def every_cell(cells: DataFrame, keys: list[str], shape: tuple[int, int]) -> DataFrame:
+    """Every cell of every frame that has one, with a null value; one row per frame is
+    all that is shuffled."""
+    frames = cells.select(*keys).distinct() if keys else cells.limit(1).select()
+    axis = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    grid = frames.withColumn("lat_idx", axis(shape[0])).withColumn("lon_idx", axis(shape[1]))
+    return grid.withColumn("value", F.lit(None).cast("double"))
+
+
 def clamped(index: Column, size: int) -> Column:
     """Border rule: repeat the edge."""
     return F.greatest(F.lit(0), F.least(F.lit(size - 1), index))
@@ -46,7 +65,7 @@ def gaussian_weights(sigma: float) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def _pass(cells: DataFrame, keys: list[str], axis: str, other: str, size: int, weights: list[float]) -> DataFrame:
+def _pass(cells: DataFrame, keys: list[str], axis: str, other: str, size: int, weights: list[float], extra: DataFrame) -> DataFrame:
     radius = len(weights) // 2
     taps = F.lit([float(w) for w in weights])
     sent = cells.select(*keys, other, axis, "value", F.posexplode(taps).alias("_k", "_w"))
@@ -57,6 +76,7 @@ def _pass(cells: DataFrame, keys: list[str], axis: str, other: str, size: int, w
             reflected(F.col(axis) + F.col("_k") - radius, size).cast("int").alias(axis),
             (F.col("value") * F.col("_w")).alias("value"),
         )
+        .unionByName(extra)
         .groupBy(*keys, other, axis)
         .agg(F.sum("value").alias("value"))
     )
@@ -69,14 +89,15 @@ def gaussian(
     shape: tuple[int, int],
     strategy: str = "auto",
 ) -> DataFrame:
-    """Gaussian smoothing of dense frames; missing counts as 0, borders reflect."""
+    """Gaussian smoothing of frames; missing counts as 0, borders reflect."""
     keys = list(keys)
-    base = cells.select(*keys, "lat_idx", "lon_idx", F.coalesce("value", F.lit(0.0)).alias("value"))
+    base = cells.select(*keys, "lat_idx", "lon_idx", F.coalesce(finite("value"), F.lit(0.0)).alias("value"))
     weights = gaussian_weights(sigma)
     if by_frame(strategy, shape[0] * shape[1]):
-        return _per_frame(base, keys, shape, lambda grid: _smooth(_smooth(grid, weights, 0), weights, 1))
-    rows = _pass(base, keys, "lat_idx", "lon_idx", shape[0], weights)
-    both = _pass(rows, keys, "lon_idx", "lat_idx", shape[1], weights)
+        return _per_frame(base, keys, shape, lambda grid: _smooth(_smooth(np.nan_to_num(grid), weights, 0), weights, 1))
+    extra = every_cell(base, keys, shape).withColumn("value", F.lit(0.0))
+    rows = _pass(base, keys, "lat_idx", "lon_idx", shape[0], weights, extra)
+    both = _pass(rows, keys, "lon_idx", "lat_idx", shape[1], weights, extra.limit(0))
     return both.select(*keys, "lat_idx", "lon_idx", "value")
 
 
@@ -85,25 +106,30 @@ def box_blur(
 ) -> DataFrame:
     """Mean of the 3x3 neighbourhood with repeated edges; a missing cell spreads."""
     keys = list(keys)
-    out = cells.select(*keys, "lat_idx", "lon_idx", "value")
+    out = cells.select(*keys, "lat_idx", "lon_idx", finite("value").alias("value"))
     if strategy == "frame":
         return _per_frame(out, keys, shape, lambda grid: _blur(grid, passes))
+    extra = every_cell(out, keys, shape)
     for _ in range(passes):
-        out = _blur_pass(out, keys, shape)
+        out = _blur_pass(out, keys, shape, extra)
+        extra = extra.limit(0)
     return out
 
 
-def _blur_pass(cells: DataFrame, keys: list[str], shape: tuple[int, int]) -> DataFrame:
+def _blur_pass(cells: DataFrame, keys: list[str], shape: tuple[int, int], extra: DataFrame) -> DataFrame:
     moves = F.array(
         *[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
     )
     sent = cells.select(*keys, "lat_idx", "lon_idx", "value", F.explode(moves).alias("m"))
     return (
-        sent.groupBy(
+        sent.select(
             *keys,
             clamped(F.col("lat_idx") + F.col("m.dy"), shape[0]).alias("lat_idx"),
             clamped(F.col("lon_idx") + F.col("m.dx"), shape[1]).alias("lon_idx"),
+            "value",
         )
+        .unionByName(extra)
+        .groupBy(*keys, "lat_idx", "lon_idx")
         .agg(F.sum("value").alias("_sum"), F.count("value").alias("_n"))
         .select(
             *keys, "lat_idx", "lon_idx",
@@ -132,14 +158,24 @@ def _blur(grid: np.ndarray, passes: int) -> np.ndarray:
 def _per_frame(cells: DataFrame, keys: list[str], shape: tuple[int, int], change) -> DataFrame:
     """Run ``change`` on each frame as an array; a frame has rows x cols cells."""
 
-    def one(pdf):
+    return framed(cells, keys, shape, change)
+
+
+def framed(cells: DataFrame, keys: list[str], shape: tuple[int, int], change) -> DataFrame:
+    """Every cell of ``change(frame)`` for each frame; missing cells are NaN in it."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
         grid = np.full(shape, np.nan)
         grid[pdf["lat_idx"], pdf["lon_idx"]] = pdf["value"]
         result = change(grid)
-        flat = result[pdf["lat_idx"], pdf["lon_idx"]]
-        return pdf.assign(value=flat)
+        rows, cols = np.indices(result.shape)
+        head = {k: [pdf[k].iloc[0]] * result.size for k in keys}
+        return pd.DataFrame(
+            {**head, "lat_idx": rows.ravel().astype("int32"), "lon_idx": cols.ravel().astype("int32"), "value": result.ravel()}
+        )
 
+    own = [StructField(f.name, f.dataType) for f in cells.select(*keys).schema]
+    cell = [StructField("lat_idx", IntegerType()), StructField("lon_idx", IntegerType()), StructField("value", DoubleType())]
     # A single frame without key columns still needs a grouping column.
-    group = keys or [F.lit(0)]
-    out = cells.groupBy(*group).applyInPandas(one, cells.schema)
+    out = cells.groupBy(*(keys or [F.lit(0)])).applyInPandas(one, StructType([*own, *cell]))
     return out.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))

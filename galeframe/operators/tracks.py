@@ -125,7 +125,13 @@ def fold_batches(points: DataFrame, batch: str = "batch_seq") -> DataFrame:
     # A row of the last bulletin always survives the de-duplication, so the last
     # batch may be taken afterwards; both ordered passes then share one shuffle.
     unique = dedupe_track(points, (batch, "seq"))
-    tagged = along(unique, {"_last": whole(F.max, F.col(batch))}, hot=hot)
+    values = {"_last": whole(F.max, F.col(batch))}
+    if "storm_name" in points.columns:
+        # A bulletin without a name takes the last one that is known.
+        values["_named"] = whole(F.max, F.when(F.col("storm_name").isNotNull(), F.struct(batch, "seq", F.col("storm_name").alias("name"))))
+    tagged = along(unique, values, hot=hot)
+    if "_named" in values:
+        tagged = tagged.withColumn("storm_name", F.coalesce("storm_name", "_named.name")).drop("_named")
     kept = tagged.filter((F.col("type") != "forecast") | (F.col(batch) == F.col("_last")))
     demoted = kept.withColumn(
         "type",
@@ -161,9 +167,11 @@ def merge_track(stored: DataFrame, new: DataFrame) -> DataFrame:
 def latest_issue(points: DataFrame) -> DataFrame:
     """Like ``fold_batches`` but by issue time, so a late old bulletin does no harm.
 
-    Forecasts stay only from the newest issue of the storm, whenever it arrived.
+    Forecasts stay only from the newest issue of the storm, whenever it arrived. A
+    bulletin without issue time counts as older than any other.
     """
-    return fold_batches(points, "issue_time")
+    dated = points.withColumn("_issue", F.coalesce("issue_time", F.to_timestamp(F.lit("0001-01-01"))))
+    return fold_batches(dated, "_issue").drop("_issue")
 
 
 def point_type(points: DataFrame, now: Column) -> DataFrame:

@@ -40,7 +40,7 @@ SEEN = [c if not c.endswith("AS id") else "concat('urn:', CAST(page_id%97 AS STR
 def _(spark, sf):
     """Many entries share an id; each id is taken once."""
     entries = arriving(spark, sf, "pages").selectExpr("page_id", *SEEN)
-    timed = entries.withColumn("updated", F.to_timestamp(F.regexp_replace("updated", "-\\d\\dT", "-06T")))
+    timed = entries.withColumn("updated", F.to_timestamp("updated"))
     return landed(spark, live.new_entries(timed), "fresh").select("id")
 
 

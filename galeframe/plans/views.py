@@ -62,8 +62,8 @@ ARRIVED = [c if "AS wind_kts" not in c else "value*2+5 AS wind_kts" for c in POI
     _type_at(CUTOFF),
     f"CAST(TIMESTAMP '{CUTOFF}' AS TIMESTAMP) AS issue_time",
 ]
-STORED_WHERE = "event_type IN ('view', 'click')"
-ARRIVED_WHERE = "event_type IN ('purchase', 'click')"
+STORED_WHERE = "event_type IN ('view', 'click', 'signup')"
+ARRIVED_WHERE = "event_type IN ('purchase', 'click', 'error')"
 BATCHES_SQL = (
     f"batches AS ({_select(STORED + ['0 AS batch_seq'], 'events', STORED_WHERE)} "
     f"UNION ALL {_select(ARRIVED + ['1 AS batch_seq'], 'events', ARRIVED_WHERE)})"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,27 +29,33 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    The library never makes up a folder: one on the driver's disk would not be seen by
+    the executors of a cluster.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return shared
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new, unused folder name for intermediate files.
 
-    On a cluster it lies in the shared folder named by ``spark.checkpoint.dir``;
-    a machine-local folder is used only where that setting is absent.
+    It lies in the shared folder named by ``spark.checkpoint.dir``.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/galeframe/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/galeframe/{label}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from the reliable checkpoint folder.
 
     Used for small results that two branches of a plan must agree on, also after an
-    executor is lost. The folder is the session's; one is set only if there is none.
+    executor is lost.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-        )
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from galeframe.functions import text
 
 BULLETIN = (
     "Head struct<Title:string,ReportDateTime:string,TargetDateTime:string>,"
-    "Body struct<MeteorologicalInfo:array<struct<DateTime:string,Item:struct<"
+    "Body struct<MeteorologicalInfo:array<struct<DateTime:string,Item:array<struct<"
     "TropicalCyclonePart:struct<Name:string,InternationalNumber:string,Class:string>,"
     "CenterPart:struct<Coordinate:string>,"
-    "IntensityPart:struct<CentralPressure:string,MaximumWindSpeed:string>>>>>"
+    "IntensityPart:struct<CentralPressure:string,MaximumWindSpeed:string>>>>>>"
 )
 
 
@@ -47,7 +48,7 @@ def bulletin_points(reports: DataFrame) -> DataFrame:
     timed = F.filter(infos, lambda i: (F.trim(i["DateTime"]) != "") & i["Item"].isNotNull())
 
     def first_of(name: str, default: str) -> Column:
-        named = F.transform(timed, lambda i: text.blank_to_null(i["Item"]["TropicalCyclonePart"][name]))
+        named = F.transform(timed, lambda i: text.blank_to_null(F.get(i["Item"], F.lit(0))["TropicalCyclonePart"][name]))
         return F.coalesce(F.get(F.filter(named, lambda n: n.isNotNull()), F.lit(0)), F.lit(default))
 
     rows = reports.select(
@@ -57,8 +58,10 @@ def bulletin_points(reports: DataFrame) -> DataFrame:
         F.to_timestamp(text.blank_to_null(F.col("Head.ReportDateTime"))).alias("issue_time"),
         F.posexplode(infos).alias("seq", "i"),
     )
-    place = F.col("i.Item.CenterPart.Coordinate")
-    number = lambda c: text.blank_to_null(F.col(f"i.Item.IntensityPart.{c}")).try_cast("double")
+    # Of several items of an information block the first counts.
+    item = F.get(F.col("i.Item"), F.lit(0))
+    place = item["CenterPart"]["Coordinate"]
+    number = lambda c: text.blank_to_null(item["IntensityPart"][c]).try_cast("double")
     return rows.select(
         *keys, "storm_id", "storm_name", F.lit("WP").alias("basin"), F.lit("JMA").alias("source"),
         "issue_time", "seq",
@@ -152,40 +155,52 @@ PLACEMARK = (
     f"{_SHAPES},MultiGeometry:struct<{_SHAPES}>,"
     "ExtendedData:struct<Data:array<struct<_name:string,value:string>>>>"
 )
-KML = (
-    f"Document struct<Placemark:array<{PLACEMARK}>,Folder:array<struct<name:string,"
-    f"Placemark:array<{PLACEMARK}>,Folder:array<struct<name:string,Placemark:array<{PLACEMARK}>>>>>>"
+# What a placemark file consists of, in its order: containers that open and close,
+# their names, and whole placemarks.
+KML_PARTS = (
+    r"(?is)<(?:\w+:)?(?:Folder|Document)\b[^>]*>|</(?:\w+:)?(?:Folder|Document)\s*>"
+    r"|<(?:\w+:)?Placemark\b[^>]*/>|<(?:\w+:)?Placemark\b.*?</(?:\w+:)?Placemark\s*>|<(?:\w+:)?name\b[^>]*>.*?</(?:\w+:)?name\s*>"
 )
 
 
 def _marks(documents: DataFrame, xml: str) -> DataFrame:
-    """Placemarks in document order with the nearest named folder."""
+    """Placemarks in document order with the nearest named folder, at any depth.
+
+    The file is cut into its parts, and one pass over them keeps the stack of open
+    containers, each with the folder name that holds inside it.
+    """
     keys = [c for c in documents.columns if c != xml]
-    none = F.array()
-
-    def tagged(marks: Column, folder: Column) -> Column:
-        return F.transform(marks, lambda p: F.struct(folder.alias("folder"), p.alias("p")))
-
-    def named(folder: Column, parent: Column) -> Column:
-        return F.coalesce(text.blank_to_null(folder["name"]), parent)
-
-    def inner(outer: Column) -> Column:
-        own = named(outer, F.lit(""))
-        nested = F.flatten(
-            F.transform(outer["Folder"], lambda f: tagged(f["Placemark"], named(f, own)))
-        )
-        return F.concat(
-            F.coalesce(tagged(outer["Placemark"], own), none), F.coalesce(nested, none)
-        )
-
-    root = F.col("_d.Document")
-    every = F.concat(
-        F.coalesce(tagged(root["Placemark"], F.lit("")), none),
-        F.coalesce(F.flatten(F.transform(root["Folder"], inner)), none),
+    plain = F.regexp_replace(F.col(xml), r"(?s)<!--.*?-->", "")
+    # A placemark is parsed on its own, where prefixes have no meaning.
+    plain = F.regexp_replace(F.regexp_replace(plain, r"<(/?)\w+:", "<$1"), r"(\s)\w+:(\w+\s*=)", "$1$2")
+    parts = F.regexp_extract_all(plain, F.lit(KML_PARTS), 0)
+    empty = F.from_json(F.lit('{"open":[],"marks":[]}'), "open array<struct<folder:boolean,name:string>>, marks array<struct<folder:string,xml:string>>")
+    inside = lambda a: F.coalesce(F.try_element_at(F.filter(a["open"], lambda o: o["name"].isNotNull()), F.lit(-1))["name"], F.lit(""))
+
+    def entry(folder: Column, name: Column) -> Column:
+        return F.struct(folder.alias("folder"), name.cast("string").alias("name"))
+
+    def step(a: Column, part: Column) -> Column:
+        top = F.get(a["open"], F.size(a["open"]) - 1)
+        below = F.slice(a["open"], 1, F.greatest(F.lit(0), F.size(a["open"]) - 1))
+        title = text.blank_to_null(text.unescape(F.regexp_replace(F.regexp_replace(part, r"(?s)^<[^>]*>|<[^<]*>$", ""), r"<!\[CDATA\[|\]\]>", "")))
+        opens = F.when(
+            part.rlike(r"(?is)^<(folder|document)"),
+            F.concat(a["open"], F.array(entry(part.rlike("(?i)^<folder"), F.lit(None)))),
+        ).when(part.startswith("</"), below)
+        opens = opens.when(
+            part.rlike("(?i)^<name") & top["folder"] & top["name"].isNull() & title.isNotNull(), F.concat(below, F.array(entry(F.lit(True), title)))
+        ).otherwise(a["open"])
+        found = F.when(
+            part.rlike("(?i)^<placemark"),
+            F.concat(a["marks"], F.array(F.struct(inside(a).alias("folder"), part.alias("xml")))),
+        ).otherwise(a["marks"])
+        return F.struct(opens.alias("open"), found.alias("marks"))
+
+    marks = F.aggregate(parts, empty, step, lambda a: a["marks"])
+    return documents.select(*keys, F.posexplode(marks).alias("seq", "m")).select(
+        *keys, "seq", "m.folder", F.from_xml("m.xml", StructType.fromDDL(f"p {PLACEMARK}")[0].dataType).alias("p")
     )
-    return documents.select(*keys, F.from_xml(F.col(xml), KML).alias("_d")).select(
-        *keys, F.posexplode(every).alias("seq", "m")
-    ).select(*keys, "seq", "m.folder", "m.p")
 
 
 def _shape(kind: str) -> tuple[Column, Column]:

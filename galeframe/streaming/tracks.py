@@ -1,9 +1,10 @@
 """Storm tracks kept up to date from a stream of bulletins.
 
-Arrivals are appended to a point log, one partition per micro-batch, and the state
-of a storm is the fold of its log.  A replayed batch overwrites its own partition,
-so the log holds each arrival once; nothing stored is rewritten, whatever the
-length of a storm, and the fold treats late bulletins by the rule asked for.
+Arrivals are appended to a point log, one partition per query run and micro-batch, and
+the state of a storm is the fold of its log in the order of the bulletins' issue times.
+A replayed batch overwrites its own partition, a new checkpoint folder begins a new run
+beside the old ones, and equal points of several runs fold into one; so the state does
+not depend on how arrivals fell into micro-batches.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from galeframe.operators.tracks import fold_batches, latest_issue
 def new_entries(entries: DataFrame, delay: str = "7 days") -> DataFrame:
     """Bulletin entries of a feed stream that were not seen before, with scores.
 
-    ``updated`` is the event time; an id is remembered for ``delay``.
+    An id is remembered for ``delay`` after it arrived. Time is counted by arrival, so an
+    entry comes through however old its ``updated`` is.
     """
-    fresh = entries.withWatermark("updated", delay).dropDuplicatesWithinWatermark(["id"])
-    return feeds.bulletin_entries(fresh)
+    arrived = entries.withColumn("_arrived", F.current_timestamp())
+    fresh = arrived.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(["id"])
+    return feeds.bulletin_entries(fresh.drop("_arrived"))
 
 
 def write_stream(stream: DataFrame, out: str, checkpoint: str, trigger: dict | None = None):
@@ -37,10 +40,12 @@ def log_bulletins(points: DataFrame, log: str, checkpoint: str, trigger: dict |
     """Append each micro-batch of bulletin points to the log as its own partition."""
 
     def append(batch: DataFrame, batch_id: int) -> None:
+        # The id of a streaming query lives in its checkpoint folder.
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "run"
         (
-            batch.withColumn("batch_seq", F.lit(batch_id))
+            batch.withColumn("run", F.lit(run)).withColumn("batch_seq", F.lit(batch_id))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_seq").parquet(log)
+            .partitionBy("run", "batch_seq").parquet(log)
         )
 
     return (
@@ -49,10 +54,15 @@ def log_bulletins(points: DataFrame, log: str, checkpoint: str, trigger: dict |
     )
 
 
-def current_tracks(spark: SparkSession, log: str, late_safe: bool = False) -> DataFrame:
-    """Merged and enriched tracks from the log.
+def current_tracks(spark: SparkSession, log: str, late_safe: bool = True) -> DataFrame:
+    """Merged and enriched tracks from the log, by issue time.
 
-    By arrival order as bulletins came in, or with ``late_safe`` by issue time.
+    Without ``late_safe`` by arrival: micro-batches in their order, and the bulletins of
+    one by issue time.
     """
-    points = spark.read.parquet(log)
-    return latest_issue(points) if late_safe else fold_batches(points)
+    points = spark.read.parquet(log).drop("run")
+    if late_safe:
+        return latest_issue(points)
+    issue = F.coalesce("issue_time", F.to_timestamp(F.lit("0001-01-01")))
+    turn = points.withColumn("_turn", F.struct("batch_seq", issue.alias("issue")))
+    return fold_batches(turn, "_turn").drop("_turn")

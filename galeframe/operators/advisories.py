@@ -148,7 +148,8 @@ def track_profile(points: DataFrame, lines: DataFrame) -> DataFrame:
             F.min_by("ext", F.when(F.size("ext") > 0, F.col("seq"))).alias("sample"),
         )
     )
-    return counted.join(named, ADVISORY, "full")
+    out = counted.join(named, ADVISORY, "full")
+    return out.withColumn("line_fcstpd", F.coalesce("line_fcstpd", F.lit("")))
 
 
 def pair_files(tracks: DataFrame, cones: DataFrame, five_days: DataFrame, keep: str = "last") -> DataFrame:

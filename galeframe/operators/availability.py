@@ -83,12 +83,13 @@ def product_availability(lines: DataFrame, catalog: DataFrame, mode: str = "loos
             ).alias("_tokens"),
         )
         wanted = tokens.select(F.explode("_tokens").alias("t")).agg(F.array_sort(F.collect_set("t"))).scalar()
-        text_of = F.when(F.col("token").startswith("~"), F.lower("line")).otherwise(F.col("line"))
+        held = lambda t: F.contains(
+            F.when(t.startswith("~"), F.lower("line")).otherwise(F.col("line")), F.ltrim(t, F.lit("~"))
+        )
+        # Only the tokens that a line holds become rows.
         seen = (
             lines.select(*RUN, "fff", "line").withColumn("_wanted", wanted)
-            .withColumn("token", F.explode("_wanted"))
-            .filter(F.contains(text_of, F.ltrim("token", F.lit("~"))))
-            .select(*RUN, "fff", "token").distinct()
+            .select(*RUN, "fff", F.explode(F.filter("_wanted", held)).alias("token")).distinct()
         )
         needed = tokens.select(
             "map_type", "product", F.explode("_tokens").alias("token"), F.size("_tokens").alias("_need")

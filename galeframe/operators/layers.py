@@ -202,6 +202,17 @@ def unsharp(cells: DataFrame, keys: Sequence[str], shape: tuple[int, int]) -> Da
     )
 
 
+def nearest_hour(points: DataFrame, hours: Column, run: Column, time: str = "advisory_time") -> DataFrame:
+    """Add ``fff``: the forecast hour of a run nearest to a point's time.
+
+    ``hours`` is the array of hours that the run has; of two equally near ones the
+    earlier counts, and without any the hour is null.
+    """
+    lead = F.unix_micros(time) - F.unix_micros(run)
+    gaps = F.transform(hours, lambda h: F.struct(F.abs(lead - h.cast("long") * 3_600_000_000).alias("gap"), h.alias("fff")))
+    return points.withColumn("fff", F.array_min(gaps)["fff"])
+
+
 def at_track_points(
     points: DataFrame,
     layers: DataFrame,

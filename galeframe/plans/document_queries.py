@@ -422,13 +422,12 @@ def _(spark, sf):
 @query(
     "track_file_profile",
     f"WITH {ADV_SQL} SELECT storm_id, adv, count(*) FILTER (seq<5) AS point_count, coalesce(max(CASE WHEN seq=5 THEN fcstpd END),'') AS line_fcstpd, "
-    'max(CASE WHEN seq=5 THEN "stormName" END) AS sample_name FROM adv GROUP BY 1, 2 HAVING max(seq)=5',
+    'max(CASE WHEN seq=5 THEN "stormName" END) AS sample_name FROM adv GROUP BY 1, 2',
 )
 def _(spark, sf):
     points, lines = views.advisory_rows(spark, sf)
-    # The last advisory of the table may be cut short before its line.
-    profile = adv.track_profile(points, lines).filter("sample IS NOT NULL")
-    return profile.select(
+    # The last advisory of the table may be cut short before its line, which has the sample.
+    return adv.track_profile(points, lines).select(
         "storm_id", "adv", "point_count", "line_fcstpd", F.col("sample")["stormName"].alias("sample_name")
     )
 
@@ -436,26 +435,30 @@ def _(spark, sf):
 FILE_KEYS = [
     "CAST(floor(event_id/60) AS BIGINT) AS storm_id",
     "CAST(floor(event_id/6)%10+1 AS INT) AS adv",
-    "event_id%6 AS k",
+    "CASE WHEN event_id%6=0 THEN 'track' WHEN event_id%6<=2 AND CAST(floor(event_id/6)%10+1 AS INT)%3<>0 THEN 'cone' "
+    "WHEN event_id%6 IN (3,4) AND CAST(floor(event_id/6)%10+1 AS INT)%4<>0 THEN 'five' ELSE 'other' END AS kind",
 ]
 FILE_NAME = "concat('f', lpad(CAST(event_id AS STRING), 9, '0'))"
 
 
 @query(
     "track_cone_file_join",
-    f"WITH f AS (SELECT {', '.join(FILE_KEYS)}, {FILE_NAME} AS file FROM events), t AS (SELECT storm_id, adv, file AS track_file FROM f WHERE k=0), "
-    "c AS (SELECT storm_id, adv, max(file) AS cone_last, min(file) AS cone_first FROM f WHERE k IN (1,2) AND adv%3<>0 GROUP BY 1, 2), "
-    "z AS (SELECT storm_id, adv, min(file) AS five_day_file FROM f WHERE k IN (3,4) AND adv%4<>0 GROUP BY 1, 2) "
-    "SELECT storm_id, adv, track_file, cone_last, cone_first, five_day_file FROM t LEFT JOIN c USING (storm_id, adv) LEFT JOIN z USING (storm_id, adv)",
+    f"WITH f AS (SELECT {', '.join(FILE_KEYS)}, {FILE_NAME} AS file FROM events), t AS (SELECT storm_id, adv, file AS track_file FROM f WHERE kind='track'), "
+    "c AS (SELECT storm_id, adv, max(file) AS cone_last, min(file) AS cone_first FROM f WHERE kind='cone' GROUP BY 1, 2), "
+    "z AS (SELECT storm_id, adv, min(file) AS five_day_file FROM f WHERE kind='five' GROUP BY 1, 2), "
+    "o AS (SELECT storm_id, adv, count(*) AS other_files FROM f WHERE kind='other' GROUP BY 1, 2) "
+    "SELECT storm_id, adv, track_file, cone_last, cone_first, five_day_file, coalesce(other_files,0) AS other_files FROM t LEFT JOIN c USING (storm_id, adv) "
+    "LEFT JOIN z USING (storm_id, adv) LEFT JOIN o USING (storm_id, adv)",
 )
 def _(spark, sf):
     rows = table(spark, sf, "events").selectExpr(*FILE_KEYS, f"{FILE_NAME} AS file")
-    tracks = rows.filter("k = 0").select("storm_id", "adv", F.col("file").alias("track_file"))
-    cones = rows.filter("k IN (1, 2) AND adv % 3 <> 0")
-    five = rows.filter("k IN (3, 4) AND adv % 4 <> 0")
+    tracks = rows.filter("kind = 'track'").select("storm_id", "adv", F.col("file").alias("track_file"))
+    cones, five = rows.filter("kind = 'cone'"), rows.filter("kind = 'five'")
+    others = rows.filter("kind = 'other'").groupBy("storm_id", "adv").agg(F.count(F.lit(1)).alias("other_files"))
     last = adv.pair_files(tracks, cones, five, "last").withColumnRenamed("cone_file", "cone_last")
     first = adv.pair_files(tracks, cones, five, "first").select("storm_id", "adv", F.col("cone_file").alias("cone_first"))
-    return last.join(first, ["storm_id", "adv"])
+    paired = last.join(first, ["storm_id", "adv"]).join(others, ["storm_id", "adv"], "left")
+    return paired.withColumn("other_files", F.coalesce("other_files", F.lit(0)))
 
 
 # --- hourly series ------------------------------------------------------------------------

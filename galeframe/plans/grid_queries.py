@@ -476,7 +476,7 @@ def _(spark, sf):
 
 
 AT = (
-    "a AS (SELECT event_id AS point_id, CAST((event_id%7)*3 AS INT) AS fff, 24-((event_id*37)%1600)/1e2 AS lat, "
+    "a AS (SELECT event_id AS point_id, CAST(least(6,greatest(0,ceil((epoch_us(CAST(ts AS TIMESTAMP))-epoch_us(date_trunc('day',CAST(ts AS TIMESTAMP))))/10800e6-0.5)))*3 AS INT) AS fff, 24-((event_id*37)%1600)/1e2 AS lat, "
     "102+((event_id*91)%800)/1e2 AS lon FROM events), "
     f"b AS (SELECT *, (24e0-lat)/0.25e0 AS y, (lon-102e0)/0.25e0 AS x FROM a), "
     f"d AS (SELECT *, CAST(greatest(0,least({ROWS - 2},floor(y))) AS INT) AS y0, "
@@ -495,12 +495,16 @@ AT = (
     "WHERE w>0 GROUP BY point_id",
 )
 def _(spark, sf):
-    """Wind and pressure at every point from the frame of its forecast hour."""
+    """Wind and pressure at every point from the frame nearest to its time of day."""
+    frames = cells(spark, sf)
+    hours = frames.agg(F.array_sort(F.collect_set("fff"))).scalar()
     points = table(spark, sf, "events").selectExpr(
-        "event_id AS point_id", "CAST((event_id%7)*3 AS INT) AS fff",
+        "event_id AS point_id", "CAST(ts AS TIMESTAMP) AS advisory_time",
         "24-((event_id*37)%1600)/1e2 AS lat", "102+((event_id*91)%800)/1e2 AS lon",
     )
-    grid = cells(spark, sf).select(
+    points = points.withColumn("hours", hours)
+    points = layers.nearest_hour(points, F.col("hours"), F.date_trunc("day", "advisory_time"))
+    grid = frames.select(
         *CELL, units.wind_speed(F.col("u"), F.col("v")).alias("speed"), (F.col("value") / 5 + 1000).alias("mslp")
     )
     out = layers.at_track_points(points, grid, ["fff"], ["speed", "mslp"], 24.0, 102.0, 0.25, SHAPE)

@@ -43,11 +43,15 @@ def availability_by_map(combined: DataFrame) -> DataFrame:
 
 
 def summary_documents(entries: DataFrame, summary: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Folder summaries with their file lists, ``part_rows`` files to a document."""
-    placed = in_parts(
-        entries, ["map_type"], ["fff", "file", "size_bytes"],
-        part_rows, F.coalesce("fff", F.lit(-1)),
-    )
+    """Folder summaries with their file lists, about ``part_rows`` files to a document.
+
+    Files are dealt over the documents of a map by a hash of their name, so however many
+    share a map and an hour, they never meet in one task.
+    """
+    parts = F.ceil(F.col("file_count") / F.lit(part_rows))
+    placed = entries.join(summary.select("map_type", "file_count"), "map_type").withColumn(
+        "part", F.pmod(F.xxhash64("file"), F.greatest(F.lit(1), parts)).cast("int")
+    )
     listed = placed.groupBy("map_type", "part").agg(
         F.array_sort(F.collect_list(F.struct("file", "size_bytes", "fff"))).alias("files")
     )
@@ -55,7 +59,11 @@ def summary_documents(entries: DataFrame, summary: DataFrame, part_rows: int = P
 
 
 def manifest_documents(plan: DataFrame, requests: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Request with its hours and the status of each file (a request has few thousand)."""
+    """Request with its hours and the status of each file (a request has few thousand).
+
+    All columns of ``requests`` stay, such as its hour segments; the time of writing is
+    added as ``generated_at_epoch``.
+    """
     keys = list(keys)
     files = plan.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("fff", "product", "file", "status", "url"))).alias("downloads")
@@ -65,7 +73,7 @@ def manifest_documents(plan: DataFrame, requests: DataFrame, keys: Sequence[str]
         F.coalesce("downloads", F.array().cast(
             "array<struct<fff:int,product:string,file:string,status:string,url:string>>"
         )),
-    )
+    ).withColumn("generated_at_epoch", F.unix_timestamp())
 
 
 def storm_documents(points: DataFrame, part_rows: int = PART_ROWS, agency: str = "JMA + GFS") -> DataFrame:

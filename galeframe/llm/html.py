@@ -232,7 +232,14 @@ class _Layouts:
     """Pages laid out anew from blocks of text and blocks around it."""
 
     def __init__(self, text: list[str], around: list[str], seed: int = 4):
-        self.text, self.around, self.rng = text or ["text"], [*AROUND, *around], random.Random(seed)
+        self.around, self.rng = [*AROUND, *around], random.Random(seed)
+        self.text = text or [self._made_up() for _ in range(300)]
+
+    def _made_up(self) -> str:
+        """A paragraph of invented words, where no text is known."""
+        r = self.rng
+        word = lambda: "".join(r.choice("aeiounrtlsdm") for _ in range(r.randint(2, 9)))
+        return " ".join(" ".join(word() for _ in range(r.randint(4, 14))).capitalize() + "." for _ in range(r.randint(1, 8)))
 
     def _name(self, *names: str) -> str:
         r = self.rng

@@ -172,7 +172,7 @@ def _boxes(b: bytes, at: int) -> int:
     while p + 8 <= len(b) and (kind := b[p + 4 : p + 8]) in _BOXES:
         size = int.from_bytes(b[p : p + 4], "big")
         if size < 8 or p + size > len(b):
-            break
+            return 0
         seen.add(kind)
         p += size
     return p - at if {b"ftyp", b"moov"} <= seen or {b"ftyp", b"meta"} <= seen else 0

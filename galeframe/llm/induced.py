@@ -31,7 +31,7 @@ PIECE = 1 << 18
 IN_MEMORY = 1 << 22
 # Tuples of a symbol range of the shorter texts, about.
 RANGE = 4096
-_TUPLE = np.dtype([("at", "<i8"), ("common", "<i2")])
+_TUPLE = np.dtype([("at", "<i8"), ("common", "<i8")])
 
 
 class Queue:
@@ -121,7 +121,9 @@ def _induce(
     ``seeds`` holds the sorted suffixes that begin it, by range; they come after the
     induced ones of their symbol.  ``up``: ascending (else descending).  ``start``: a
     position that comes before everything, or -1.  ``cap``: how far common prefixes are
-    followed (0: not at all), in ``padded``, the text with some bytes behind it.
+    followed (0: not at all; a text of bytes only), in ``padded``, the text with some
+    bytes behind it.  A first seed after induced suffixes of its symbol is compared
+    outright.
     """
     parts = int(ranges[-1]) + 1
     queue, out = Queue(parts, folder, memory), Queue(parts, folder, memory)
@@ -134,11 +136,13 @@ def _induce(
         hit = hit[want[before[hit]]]
         new = np.empty(len(hit), _TUPLE)
         new["at"] = before[hit]
-        symbol = text[new["at"]].astype(np.int64)
+        symbol = text[new["at"]]
+        if symbols > 256:
+            symbol = symbol.astype(np.int64)
         if cap:
-            common = batch["common"]
+            common = np.ascontiguousarray(batch["common"])
             order = np.argsort(symbol, kind="stable")
-            cut = np.flatnonzero(np.r_[True, np.diff(symbol[order]) != 0]) if len(hit) else []
+            cut = np.flatnonzero(np.r_[True, symbol[order[1:]] != symbol[order[:-1]]]) if len(hit) else []
             ends = np.append(cut[1:], len(hit)) if len(hit) else []
             touched = symbol[order[cut]] if len(hit) else np.zeros(0, np.int64)
             rest = np.ones(len(least), bool)
@@ -165,7 +169,35 @@ def _induce(
         queue.push(int(ranges[text[start]]), first)
         if cap:
             least[text[start]] = 0
+    def push(new: np.ndarray, where: np.ndarray) -> None:
+        if len(new):
+            order = np.argsort(where, kind="stable")
+            new, where = new[order], where[order]
+            cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+            for part, piece in zip(where[cut].tolist(), np.split(new, cut[1:])):
+                queue.push(part, piece)
+
     sequence = range(parts) if up else range(parts - 1, -1, -1)
+    if symbols <= 256:
+        # One symbol to a range: what is put back into it follows all that is there, and
+        # comes before the seeds.
+        for part in sequence:
+            ready, last = queue.pop(part), -1
+            while len(ready):
+                out.push(part, ready)
+                last = int(ready["at"][-1])
+                new, symbol = put_back(ready)
+                here = symbol == part
+                push(new[~here], symbol[~here])
+                ready = new[here]
+            seed = seeds.pop(part)
+            if len(seed):
+                if cap and last >= 0:
+                    seed = seed.copy()
+                    seed["common"][0] = _common(padded, np.array([last]), seed["at"][:1], cap)[0]
+                push(*put_back(seed))
+        queue.close()
+        return out
     for part in sequence:
         waiting, seed = queue.pop(part), seeds.pop(part)
         symbol = np.concatenate([text[waiting["at"]], text[seed["at"]]]).astype(np.int64)
@@ -174,7 +206,6 @@ def _induce(
         batch = np.concatenate([waiting, seed])
         order = np.argsort(rank, kind="stable")
         batch, rank = batch[order], rank[order]
-        previous = -1  # the last suffix read of this range, and its symbol
         while len(batch):
             # The longest prefix that puts nothing back before its end.
             before = batch["at"] - 1
@@ -189,26 +220,13 @@ def _induce(
             bound = np.minimum.accumulate(inner)
             stop = len(batch) if not len(spot) else int(np.searchsorted(rank > bound, True)) if rank[-1] > bound[-1] else len(batch)
             ready, ready_rank = batch[:stop], rank[:stop]
-            if cap:
-                # A first seed after induced suffixes of its symbol is compared outright.
-                joint = np.flatnonzero((ready_rank % 2 == 1) & (np.r_[previous, ready_rank[:-1]] == ready_rank - 1))
-                if len(joint):
-                    ready = ready.copy()
-                    left = np.where(joint > 0, ready["at"][joint - 1], last_at if previous >= 0 else 0)
-                    ready["common"][joint] = _common(padded, left, ready["at"][joint], cap)
-                previous, last_at = int(ready_rank[-1]), int(ready["at"][-1])
             made = ready[ready_rank % 2 == 0]
             if len(made):
                 out.push(part, made)
             new, symbol = put_back(ready)
             where = ranges[symbol]
             here = where == part
-            far = np.flatnonzero(~here)
-            if len(far):
-                far = far[np.argsort(where[far], kind="stable")]
-                cut = np.flatnonzero(np.r_[True, np.diff(where[far]) != 0])
-                for piece in np.split(far, cut[1:]):
-                    queue.push(int(where[piece[0]]), new[piece])
+            push(new[~here], where[~here])
             batch, rank = batch[stop:], rank[stop:]
             if here.any():
                 more = symbol[here]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeframe.functions.geo import wrap_longitude
-from galeframe.operators.attach import attach
+from galeframe.operators.attach import attach, attach_counted
 
 # The regional area of interest, both ends inclusive.
 REGION = {"lat": (8.0, 24.0), "lon": (102.0, 110.0)}
@@ -63,7 +63,7 @@ def stride_sample(cells: DataFrame, keys: Sequence[str], target: int = 3000, val
     )
     row = Window.partitionBy(*keys, "lat_idx").orderBy("lon_idx")
     return (
-        attach(kept, starts, keys + ["lat_idx"])
+        attach_counted(kept, starts, keys + ["lat_idx"])
         .withColumn("_pos", F.col("_start") + F.row_number().over(row) - 1)
         .filter(F.col("_pos") % F.col("_step") == 0)
         .select(*cells.columns)
@@ -95,14 +95,14 @@ def index_axes(cells: DataFrame, grid: Sequence[str] = (), north_first: bool = T
         return ranks.withColumn(index, F.dense_rank().over(part.orderBy(by)) - 1)
 
     out = cells.drop("lat_idx", "lon_idx")
-    out = attach(out, axis("lat", "lat_idx", north_first), grid + ["lat"])
-    return attach(out, axis("lon", "lon_idx", False), grid + ["lon"])
+    out = attach_counted(out, axis("lat", "lat_idx", north_first), grid + ["lat"])
+    return attach_counted(out, axis("lon", "lon_idx", False), grid + ["lon"])
 
 
 def normalize_longitude(cells: DataFrame, grid: Sequence[str] = ()) -> DataFrame:
     """Longitudes to [-180, 180) where the grid runs past 180, then re-index."""
     top = cells.groupBy(*grid).agg(F.max("lon").alias("_top"))
-    wrapped = attach(cells, top, grid).withColumn(
+    wrapped = attach_counted(cells, top, grid).withColumn(
         "lon",
         F.when(F.col("_top") > 180, wrap_longitude(F.col("lon"))).otherwise(F.col("lon")),
     )
@@ -139,13 +139,13 @@ def pick_variable(
         F.min_by(F.struct("dataset_idx", "variable"), F.struct(*rank)).alias("c")
     )
     chosen = chosen.select(*keys, "layer", "c.dataset_idx", "c.variable")
-    return attach(cells, chosen, keys + ["dataset_idx", "variable"])
+    return attach_counted(cells, chosen, keys + ["dataset_idx", "variable"])
 
 
 def first_variable(cells: DataFrame, file_keys: Sequence[str]) -> DataFrame:
     """Only the first data variable of each file (lowest ``var_seq``)."""
     first = cells.groupBy(*file_keys).agg(F.min_by("variable", "var_seq").alias("variable"))
-    return attach(cells, first, list(file_keys) + ["variable"])
+    return attach_counted(cells, first, list(file_keys) + ["variable"])
 
 
 def first_slice(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -155,7 +155,7 @@ def first_slice(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.min("level_idx").alias("level_idx"),
         (F.min("level_idx") == F.max("level_idx")).alias("single"),
     )
-    return attach(cells, lowest, keys + ["level_idx"])
+    return attach_counted(cells, lowest, keys + ["level_idx"])
 
 
 def frame_limit(cells: DataFrame, series: Sequence[str], max_frames: int = 80) -> DataFrame:
@@ -170,7 +170,7 @@ def frame_limit(cells: DataFrame, series: Sequence[str], max_frames: int = 80) -
     kept = hours.withColumn("_r", F.row_number().over(part.orderBy("fff"))).filter(
         F.col("_r") <= max_frames
     )
-    return cells.join(kept.select(*series, "fff"), series + ["fff"], "left_semi")
+    return attach_counted(cells, kept.select(*series, "fff"), series + ["fff"], "left_semi")
 
 
 def label_points(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeframe.functions import classify, field, units
-from galeframe.operators.attach import attach
+from galeframe.operators.attach import attach, attach_counted
 from galeframe.operators.grid_stats import value_range
 from galeframe.operators.stencil import gaussian
 
@@ -48,7 +48,7 @@ def precip_layers(cells: DataFrame, frame: Sequence[str], cell: Sequence[str] =
         .filter("in_prate")
     )
     flag = lambda c: F.when(F.col(f"in_{c}"), F.col(c)).otherwise(F.lit(0.0)).alias(c)
-    return attach(wide, present, frame).select(*frame, *cell, "prate", flag("crain"), flag("csnow"))
+    return attach_counted(wide, present, frame).select(*frame, *cell, "prate", flag("crain"), flag("csnow"))
 
 
 def precip_index(layers: DataFrame, series: Sequence[str] = ()) -> DataFrame:
@@ -57,7 +57,7 @@ def precip_index(layers: DataFrame, series: Sequence[str] = ()) -> DataFrame:
     top = rated.groupBy(*series).agg(F.max("mm_h").alias("_top"))
     safe = F.when((F.col("_top") > 0) & (F.col("_top") < float("inf")), F.col("_top")).otherwise(F.lit(1.0))
     return (
-        attach(rated, top, series)
+        attach_counted(rated, top, series)
         .withColumns(
             {
                 "combined": field.combined_index(F.col("mm_h"), safe, F.col("crain"), F.col("csnow")),
@@ -73,7 +73,7 @@ def scale_cloud(cells: DataFrame, field_keys: Sequence[str], value: str = "value
     v = F.coalesce(F.col(value), F.lit(0.0))
     stats = cells.groupBy(*field_keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     return (
-        attach(cells, stats, field_keys)
+        attach_counted(cells, stats, field_keys)
         .withColumn(value, field.scaled_cloud(F.col(value), F.col("_lo"), F.col("_hi")))
         .select(*cells.columns)
     )
@@ -89,7 +89,7 @@ def cloud_layers(cells: DataFrame, cell: Sequence[str], names: dict[str, str]) -
 
 def color_norm(cells: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Add ``norm``: position of the value in the field's colour range."""
-    ranged = attach(cells, value_range(cells, keys, value), keys)
+    ranged = attach_counted(cells, value_range(cells, keys, value), keys)
     return ranged.select(
         *cells.columns,
         field.normalized(F.col(value), F.col("range_low"), F.col("range_high")).alias("norm"),
@@ -101,7 +101,7 @@ def shown_rain(cells: DataFrame, keys: Sequence[str], value: str = "value") -> D
     stats = cells.groupBy(*keys).agg(
         F.percentile(value, F.lit(0.99)).alias("_p99"), F.max(value).alias("_top")
     )
-    return attach(cells, stats, keys).select(
+    return attach_counted(cells, stats, keys).select(
         *cells.columns,
         field.shown_rain(F.col(value), F.col("_p99"), F.col("_top")).alias("shown"),
     )
@@ -142,7 +142,7 @@ def cloud_rain_proxy(
     percent = F.when(F.col("_top") > 1.5, F.col(value) / 100).otherwise(F.col(value))
     cell = series + ["lat_idx", "lon_idx"]
     mean = (
-        attach(cells, top, frame)
+        attach_counted(cells, top, frame)
         .groupBy(*cell)
         .agg(F.avg(F.when(F.col(value).isNotNull(), field.clip(percent, 0.0, 1.0))).alias("value"))
     )

@@ -217,3 +217,18 @@ def test_bilinear_value(spark):
     out = layers.at_track_points(points, grid, ["fff"], ["value"], 24.0, 102.0, 0.25, (5, 5))
     got = {r["point_id"]: round(r["value"], 9) for r in out.collect()}
     assert got == {1: 2 * 2.4 + 3 * 2.4, 2: 0.0, 3: 20.0}
+
+
+@pytest.mark.parametrize("limit", ["50000", "0"])
+def test_cells_are_not_shuffled_to_meet_a_small_side(spark, limit):
+    """One row per frame is broadcast once it is counted; beyond the limit rows are the same."""
+    cells = spark.range(6 * 20).selectExpr("CAST(id % 6 AS INT) AS fff", "CAST(id % 20 AS INT) AS lon_idx", "id * 1.5 AS value", "id % 3 AS level_idx")
+    spark.conf.set("galeframe.broadcast.rows", limit)
+    try:
+        plans = [grid_select.first_slice(cells, ["fff"]), grid_select.frame_limit(cells, [], 3)]
+        texts = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+        if limit != "0":
+            assert all("BroadcastHashJoin" in t and "hashpartitioning" not in t for t in texts)
+        assert plans[0].count() == cells.where("level_idx = fff % 3").count() and plans[1].count() == 60
+    finally:
+        spark.conf.unset("galeframe.broadcast.rows")

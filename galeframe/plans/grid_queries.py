@@ -528,8 +528,8 @@ def proxy_sql(source: str, keys: str) -> str:
         f"pt AS (SELECT *, max(tcc) OVER (PARTITION BY {comma}fff) AS top FROM {source}), "
         f"pm AS (SELECT {comma}lat_idx, lon_idx, avg(CASE WHEN tcc IS NULL THEN NULL ELSE greatest(0e0,least(1e0,"
         "CASE WHEN top>1.5 THEN tcc/100 ELSE tcc END)) END) AS value FROM pt GROUP BY ALL), "
-        + q.gauss("pm", "g1", stencil.gaussian_weights(1.2), SHAPE, keys) + ", "
-        + q.gauss("g1", "g2", stencil.gaussian_weights(3.2), SHAPE, keys) + ", "
+        + q.gauss("pm", "g1", q.gauss_weights(1.2), SHAPE, keys) + ", "
+        + q.gauss("g1", "g2", q.gauss_weights(3.2), SHAPE, keys) + ", "
         + f"proxy AS (SELECT {comma}lat_idx, lon_idx, 35e0*greatest(0e0,least(1e0,0.55e0*g1.value+1.35e0*greatest(g1.value-g2.value,0e0))) "
         f"AS total FROM g1 JOIN g2 USING ({using}))"
     )
@@ -577,7 +577,7 @@ def _(spark, sf):
 
 @query(
     "gaussian_stencil",
-    f"{W}, {q.gauss('cells', 'g', stencil.gaussian_weights(1.2), SHAPE, 'fff')} SELECT {ID}, ROUND(value,6) AS value FROM g",
+    f"{W}, {q.gauss('cells', 'g', q.gauss_weights(1.2), SHAPE, 'fff')} SELECT {ID}, ROUND(value,6) AS value FROM g",
 )
 def _(spark, sf):
     return rounded(stencil.gaussian(cells(spark, sf), ["fff"], 1.2, SHAPE), "value")
@@ -585,8 +585,8 @@ def _(spark, sf):
 
 @query(
     "unsharp_enhance",
-    f"{W}, {q.gauss('cells', 'a', stencil.gaussian_weights(1.0), SHAPE, 'fff')}, "
-    f"{q.gauss('a', 'b', stencil.gaussian_weights(2.6), SHAPE, 'fff')} SELECT {ID}, "
+    f"{W}, {q.gauss('cells', 'a', q.gauss_weights(1.0), SHAPE, 'fff')}, "
+    f"{q.gauss('a', 'b', q.gauss_weights(2.6), SHAPE, 'fff')} SELECT {ID}, "
     "ROUND(greatest(a.value+0.45e0*greatest(a.value-b.value,0e0),0e0),6) AS value FROM a JOIN b USING (fff, lat_idx, lon_idx)",
 )
 def _(spark, sf):

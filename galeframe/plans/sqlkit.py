@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from galeframe.functions.geo import COMPASS_16
+# Expected values, written out so that the SQL does not use what it checks.
+COMPASS_16 = "N NNE NE ENE E ESE SE SSE S SSW SW WSW W WNW NW NNW".split()
+# Gaussian weights by sigma, from the middle outwards to 4 sigma.
+GAUSS = {
+    1.0: (0.39894346935609776, 0.24197144565660073, 0.05399112742070441, 0.0044318616200312655, 0.00013383062461474175),
+    1.2: (0.33245273318208446, 0.23492715137221082, 0.08289782333300186, 0.014606953670741623, 0.0012852357166313988, 5.646931637206618e-05),
+    2.6: (0.15344676716153935, 0.1425067284950445, 0.11414798549891995, 0.07885992991890269, 0.04698938666078063, 0.02414895932672452, 0.010704153242424267, 0.004092243522270417, 0.001349353923205992, 0.0003837474798722142, 9.41283510851545e-05),
+    3.2: (0.12467230175220938, 0.11873101826467888, 0.10255263807396316, 0.08033742554712815, 0.05707913903101913, 0.036781153614318454, 0.021496200722687906, 0.011394269846016722, 0.005477718646764244, 0.002388368707997491, 0.000944477144308181, 0.0003387427138145149, 0.00011018866003474737, 3.250815116375384e-05),
+}
+
+
+def gauss_weights(sigma: float) -> list[float]:
+    """The weights of a Gaussian from end to end."""
+    return [*GAUSS[sigma][:0:-1], *GAUSS[sigma]]
 
 
 def hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:

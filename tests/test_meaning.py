@@ -145,3 +145,18 @@ def test_null_keys_and_null_sums_in_cut_plans(spark, request):
     plain = sorted(map(tuple, with_ordered(df, ["k"], ["t"], {"s": running_sum(F.col("v"))}).collect()), key=repr)
     request.getfixturevalue("hot")
     assert sorted(map(tuple, with_ordered(df, ["k"], ["t"], {"s": running_sum(F.col("v"))}).collect()), key=repr) == plain
+
+
+@pytest.mark.parametrize("sigma", [1.0, 1.2, 2.6, 3.2])
+def test_gaussian_weights(sigma):
+    """Against the density of the normal distribution, cut at four sigma."""
+    from statistics import NormalDist
+
+    from galeframe.plans import sqlkit
+
+    weights = stencil.gaussian_weights(sigma)
+    radius = len(weights) // 2
+    assert radius == int(4 * sigma + 0.5)
+    density = [NormalDist(0, sigma).pdf(d) for d in range(-radius, radius + 1)]
+    assert weights == pytest.approx([d / sum(density) for d in density], rel=1e-12)
+    assert sqlkit.gauss_weights(sigma) == pytest.approx(weights, rel=1e-12)

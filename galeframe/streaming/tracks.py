@@ -58,9 +58,11 @@ def current_tracks(spark: SparkSession, log: str, late_safe: bool = True) -> Dat
     """Merged and enriched tracks from the log, by issue time.
 
     Without ``late_safe`` by arrival: micro-batches in their order, and the bulletins of
-    one by issue time.
+    one by issue time. Points that carry no issue time can only be taken by arrival.
     """
     points = spark.read.parquet(log).drop("run")
+    if "issue_time" not in points.columns:
+        return fold_batches(points)
     if late_safe:
         return latest_issue(points)
     issue = F.coalesce("issue_time", F.to_timestamp(F.lit("0001-01-01")))

@@ -138,6 +138,7 @@ def test_stream_equals_batch_and_replay_is_harmless(spark, tmp_path):
     assert streamed == state(merged)
     assert [k for *_, k in streamed].count("current") == 1
     # Writing the last batch again replaces its partition.
-    (bulletin(2).withColumn("batch_seq", F.lit(2)).write.mode("overwrite").partitionBy("batch_seq")
+    run = spark.read.parquet(log).first()["run"]
+    (bulletin(2).withColumn("run", F.lit(run)).withColumn("batch_seq", F.lit(2)).write.mode("overwrite").partitionBy("run", "batch_seq")
      .option("partitionOverwriteMode", "dynamic").parquet(log))
     assert state(live.current_tracks(spark, log)) == streamed

@@ -29,7 +29,7 @@ PREFIXES = range(3, 8)
 SLOTS = 1 << 20
 # A feature enters a model if its shares in the two classes differ by so many standard
 # errors; at most this many do.
-LEAST_Z, MOST_FEATURES = 4.5, 3000
+LEAST_Z, MOST_FEATURES = 6.0, 3000
 ROUNDS, RATE, PENALTY = 120, 0.3, 1e-3
 REJECT = 0.4
 
@@ -94,7 +94,7 @@ def _fit_one(row: np.ndarray, slot: np.ndarray, n: int, before: np.ndarray, labe
     negative = max(1, n - positive)
     p, q, all_ = with_label / positive, (count - with_label) / negative, count / max(1, n)
     z = np.abs(p - q) / np.sqrt(np.maximum(all_ * (1 - all_), 1e-12) * (1 / positive + 1 / negative))
-    slots = np.flatnonzero((z >= LEAST_Z) & (count >= 3))
+    slots = np.flatnonzero((z >= LEAST_Z) & (count >= 4))
     slots = np.sort(slots[np.argsort(-z[slots], kind="stable")[:MOST_FEATURES]])
     index = np.full(SLOTS, -1, np.int64)
     index[slots] = np.arange(len(slots))

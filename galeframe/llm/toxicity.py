@@ -28,8 +28,12 @@ FOLDS = 4
 PREFIXES = range(3, 8)
 SLOTS = 1 << 20
 # A feature enters a model if its shares in the two classes differ by so many standard
-# errors; at most this many do.
-LEAST_Z, MOST_FEATURES = 6.0, 3000
+# errors; at most this many do.  The limit is low, so that words of a language with few
+# labelled texts enter too; noise among them is held down by the penalty.
+LEAST_Z, MOST_FEATURES = 3.0, 3000
+# Penalty on half a squared weight, against the sum of the losses of all texts: a weight
+# that few texts speak for stays small.
+SHRINK = 1.0
 ROUNDS, RATE, PENALTY = 120, 0.3, 1e-3
 REJECT = 0.4
 
@@ -94,7 +98,7 @@ def _fit_one(row: np.ndarray, slot: np.ndarray, n: int, before: np.ndarray, labe
     negative = max(1, n - positive)
     p, q, all_ = with_label / positive, (count - with_label) / negative, count / max(1, n)
     z = np.abs(p - q) / np.sqrt(np.maximum(all_ * (1 - all_), 1e-12) * (1 / positive + 1 / negative))
-    slots = np.flatnonzero((z >= LEAST_Z) & (count >= 4))
+    slots = np.flatnonzero((z >= LEAST_Z) & (count >= 3))
     slots = np.sort(slots[np.argsort(-z[slots], kind="stable")[:MOST_FEATURES]])
     index = np.full(SLOTS, -1, np.int64)
     index[slots] = np.arange(len(slots))
@@ -105,7 +109,7 @@ def _fit_one(row: np.ndarray, slot: np.ndarray, n: int, before: np.ndarray, labe
     for _ in range(ROUNDS):
         odds = np.bincount(row, weights[column], n) + before @ earlier + bias
         error = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - label) / max(1, n)
-        slopes = [np.bincount(column, error[row], len(slots)) + PENALTY * weights / max(1, n) * 10, before.T @ error + PENALTY * earlier, error.sum()]
+        slopes = [np.bincount(column, error[row], len(slots)) + SHRINK * weights / max(1, n), before.T @ error + PENALTY * earlier, error.sum()]
         grown = [g + s * s for g, s in zip(grown, slopes)]
         weights -= RATE * slopes[0] / np.sqrt(grown[0])
         earlier -= RATE * slopes[1] / np.sqrt(grown[1])

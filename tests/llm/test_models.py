@@ -158,6 +158,26 @@ def test_toxicity(spark, docs, none, texts):
     assert toxicity.accepted(documents, untaught).count() == 900
 
 
+def test_toxicity_of_a_rare_language():
+    """Four labelled texts must do to learn the words of a second language."""
+    rng = random.Random(8)
+    texts, toxic = [], []
+    for k in range(1400):
+        words = sentence(rng, rng.randrange(20, 120)).split(" ")
+        rare = k % 100 == 7 and k < 400 or k >= 1300
+        toxic.append(k % 10 == 0 and k < 1300 or rare)
+        for _ in range(4 if toxic[-1] else 0):
+            words[rng.randrange(len(words))] = "lowei" + rng.choice(["ta", "ment", "o", "schaft", "ei", "un"]) if rare else rng.choice(["idiot", "moron"])
+        texts.append(" ".join(words))
+    label = np.array(toxic[:400])
+    chain = toxicity.fit(texts[:400], dict(zip(toxicity.CATEGORIES, (np.zeros(400, bool), label, np.zeros(400, bool)))))
+    raw = [t.encode() for t in texts[400:]]
+    rejected = toxicity._judged(chain, np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])))[1]
+    unseen = np.array(toxic[400:])
+    assert rejected[900:].mean() >= 0.75 and rejected[:900][unseen[:900]].mean() >= 0.95
+    assert rejected[~unseen].sum() <= 3
+
+
 def test_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((12, 16))

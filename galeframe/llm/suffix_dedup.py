@@ -10,7 +10,8 @@ was counted more than once.
 
 A k-gram with very many different contexts (a common line) would be a shard of its own
 that grows with the corpus; its starts are compared by a 128-bit hash of their strings
-instead, dealt by that hash.
+instead, dealt by that hash.  The queues of a shard lie on disk, its other arrays in
+memory, so the shards are numbered by the measured bytes of the contexts.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from galeframe.llm.support import kept, mapped, tasks, utf8
 LENGTH, GRAM = 200, 64
 # Different contexts of a k-gram beyond which its starts are compared by hash.
 HOT = 1 << 16
+# Bytes of a shard, about; a shard takes some 70 bytes of memory for each.
+SHARD = 8 << 20
 # Stands for a null doc_id inside the operator.
 _NO_ID = -(2**63)
 # Ends every context in a shard; in no UTF-8 text.
@@ -89,6 +92,12 @@ def runs(flags: np.ndarray) -> np.ndarray:
     return edge.astype("<i4")
 
 
+def _shards(contexts: DataFrame, length: int) -> int:
+    """How many shards: about SHARD bytes to each, and at least one a task."""
+    size = contexts.agg(F.sum(F.col("span") + length + len(_END))).first()[0] or 0
+    return max(tasks(contexts.sparkSession), -(-size // SHARD))
+
+
 _MARKS = "gram long, context long, spans binary"
 
 
@@ -136,7 +145,7 @@ def _sorted_marks(contexts: DataFrame, length: int, memory: int) -> DataFrame:
         finally:
             shutil.rmtree(folder, ignore_errors=True)
 
-    dealt = contexts.repartition(tasks(contexts.sparkSession), "gram")
+    dealt = contexts.repartition(_shards(contexts, length), "gram")
     return dealt.mapInArrow(run, _MARKS)
 
 

@@ -131,6 +131,22 @@ def test_repeated_rows_remove_each_other(spark):
     assert cleaned.columns == frame(spark, rows).columns
 
 
+def test_shards_grow_with_the_contexts(spark, monkeypatch):
+    """More bytes give more shards, not larger ones, and the same marks."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(300):
+        text = bytearray(rng.randrange(97, 123) for _ in range(60))
+        rows += [(k, 2 * k, 1, 20, text), (k, 2 * k + 1, 1, 20, bytearray(b"!" + text[1:]))]
+    contexts = spark.createDataFrame(rows, "gram long, context long, n long, span long, bytes binary")
+    few = suffix_dedup._sorted_marks(contexts, 40, 1 << 21)
+    monkeypatch.setattr(suffix_dedup, "SHARD", 1000, raising=False)
+    many = suffix_dedup._sorted_marks(contexts, 40, 1 << 21)
+    assert many.rdd.getNumPartitions() == -(-600 * 61 // 1000) > few.rdd.getNumPartitions()
+    marks = [{(r["gram"], r["context"]): bytes(r["spans"]) for r in one.collect()} for one in (few, many)]
+    assert marks[0] == marks[1] and len(marks[0]) == 600
+
+
 def test_suffix_order_and_repeats(monkeypatch, tmp_path):
     rng = random.Random(5)
     for _ in range(60):

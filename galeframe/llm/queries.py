@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galeframe.llm import ann, bpe, html, jaccard, langid, media, packing, repair, suffix_dedup, toxicity
+from galeframe.llm import alignment, ann, bpe, decontaminate, html, importance, jaccard, langid, media, packing, repair, suffix_dedup, toxicity
 from galeframe.llm.ranks import vocabulary
 from galeframe.llm.support import ready, table
 from galeframe.session import scratch_dir
@@ -82,3 +82,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op11_importance", importance.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    return alignment.digests(table(spark, sf_dir, "documents"), *files)
+
+
+@query("op13_decontamination", decontaminate.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

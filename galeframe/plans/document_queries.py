@@ -27,7 +27,7 @@ from galeframe.plans.views import (
     table,
 )
 from galeframe.session import checkpointed, scratch_dir
-from galeframe.sources import documents, markup
+from galeframe.sources import documents, markup, rejects
 
 # --- bulletins and feeds ---------------------------------------------------------
 
@@ -45,6 +45,27 @@ def _(spark, sf):
     )
 
 
+# Damage by bulletin: cut off, a tag that does not close, a coordinate with a letter, blank.
+DAMAGE = (
+    "CASE bulletin%7 WHEN 1 THEN left(xml, length(xml)-20) WHEN 2 THEN replace(xml, '</Body>', '') "
+    "WHEN 3 THEN replace(xml, '/</Coordinate>', 'x</Coordinate>') WHEN 4 THEN ' ' ELSE xml END AS xml"
+)
+
+
+@query(
+    "bulletin_rejects",
+    "WITH e AS (SELECT *, CAST(floor(event_id/6) AS BIGINT) AS bulletin, CAST(event_id%6 AS INT) AS seq FROM events), "
+    "d AS (SELECT DISTINCT bulletin FROM e) "
+    "SELECT bulletin, CAST(NULL AS INT) AS seq, CASE WHEN bulletin%7=4 THEN 'empty' ELSE 'malformed' END AS reason FROM d WHERE bulletin%7 IN (1, 2, 4) "
+    "UNION ALL SELECT bulletin, seq, CASE WHEN event_id%11=5 THEN 'no time' WHEN event_id%7=3 THEN 'no coordinate' ELSE 'coordinate' END FROM e "
+    "WHERE bulletin%7 NOT IN (1, 2, 4) AND (event_id%11=5 OR event_id%7=3 OR bulletin%7=3)",
+)
+def _(spark, sf):
+    """What is unusable in bulletins of which some are damaged."""
+    damaged = views.bulletins(spark, sf).selectExpr("bulletin", DAMAGE)
+    return rejects.bulletins(damaged).rejects.select("bulletin", "seq", "reason")
+
+
 def escaped(column):
     return F.replace(F.replace(column, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 

@@ -640,10 +640,14 @@ def grid_documents(spark, sf):
 
 @query("sink_grid_json", JSON_SQL)
 def _(spark, sf):
-    return grids.grid_cells(grid_documents(spark, sf)).select(*CELL, "lat", "lon", "value")
+    """Documents put in place of earlier ones of the same hours, then read again."""
+    path = scratch_dir(spark, "grid-docs")
+    sinks.replace_documents(grid_documents(spark, sf), path, ["fff"])
+    back = sinks.read_documents(spark, path, f"fff int, {grids.GRID_JSON}")
+    return grids.grid_cells(back).select(*CELL, "lat", "lon", "value")
 
 
-@query("scan_grid_json", f"{W} SELECT {ID}, ROUND(lat,2) AS lat, ROUND(lon,2) AS lon, round_even(value,1) AS value FROM cells WHERE fff=0 OR fff>0")
+@query("scan_grid_json", f"{W} SELECT {ID}, ROUND(lat,2) AS lat, ROUND(lon,2) AS lon, round_even(value,1) AS value FROM cells")
 def _(spark, sf):
     """Documents written as JSON, one folder per hour, then read again."""
     path = scratch_dir(spark, "grid-json")

@@ -38,23 +38,31 @@ SEEN = [c if not c.endswith("AS id") else "concat('urn:', CAST(page_id%97 AS STR
 
 @query("stream_skip_processed", f"WITH {ENTRIES_SQL} SELECT DISTINCT concat('urn:', page_id%97, '_VPTW60_') AS id FROM entries")
 def _(spark, sf):
-    """Many entries share an id; each id is taken once."""
-    entries = arriving(spark, sf, "pages").selectExpr("page_id", *SEEN)
-    timed = entries.withColumn("updated", F.to_timestamp("updated"))
-    return landed(spark, live.new_entries(timed), "fresh").select("id")
+    """Many entries share an id; each id is taken once, also by a second run over the feed
+    that knows nothing but the ids that were taken."""
+    path = scratch_dir(spark, "fresh")
+    for run in "ab":
+        entries = arriving(spark, sf, "pages").selectExpr("page_id", *SEEN)
+        timed = entries.withColumn("updated", F.to_timestamp("updated"))
+        live.take_new(timed, f"{path}/taken", f"{path}/checkpoint-{run}").awaitTermination()
+        live.ids_log(f"{path}/taken").compact(spark)
+    return spark.read.parquet(f"{path}/taken").select("id")
 
 
 def bulletin_log(spark, sf, late):
     """Two arrivals per storm, streamed one after the other into a point log.
 
-    With ``late`` the older bulletin arrives second.
+    With ``late`` the older bulletin arrives second.  The first is in the snapshot when
+    the tracks are read, the second is not.
     """
     stored, arrived = views.stored_points(spark, sf), views.arrived_points(spark, sf)
     path = scratch_dir(spark, "bulletins")
-    for points in (arrived, stored) if late else (stored, arrived):
+    for k, points in enumerate((arrived, stored) if late else (stored, arrived)):
         points.write.mode("append").parquet(f"{path}/in")
         stream = spark.readStream.schema(points.schema).parquet(f"{path}/in")
         live.log_bulletins(stream, f"{path}/log", f"{path}/checkpoint").awaitTermination()
+        if k == 0:
+            live.compact_tracks(spark, f"{path}/log", late_safe=late)
     return live.current_tracks(spark, f"{path}/log", late_safe=late)
 
 

@@ -608,11 +608,11 @@ def _(spark, sf):
 
 @query("sink_storm_doc", DOC_SQL.format(enriched=DOC_ENRICHED))
 def _(spark, sf):
-    """Documents written by storm, then read again."""
+    """Documents put in place of earlier ones of the same storms, then read again."""
     docs = sinks.storm_documents(tracks.enrich_track(track(spark, sf)))
     path = scratch_dir(spark, "storm-docs")
-    sinks.write_json(docs.withColumn("storm", F.col("metadata.storm_id")), path, ["storm"])
-    return doc_rows(documents.read_storm_docs(spark, path))
+    sinks.replace_storm_docs(docs, path)
+    return doc_rows(documents.storm_doc_points(sinks.read_documents(spark, path, documents.STORM_DOC_KEYED)))
 
 
 @query(

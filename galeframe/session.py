@@ -49,6 +49,13 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/galeframe/{label}-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, path: str) -> bool:
+    """Delete a folder or file in whatever store its path names; whether it was there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return bool(store.delete(place, True))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from the reliable checkpoint folder.
 

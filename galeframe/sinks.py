@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from galeframe import versions
 from galeframe.functions import times, units
 from galeframe.operators.ordered import in_parts
 
@@ -145,6 +147,29 @@ def series_payloads(
     )
 
 
+def replace_documents(documents: DataFrame, path: str, key: Sequence[str]) -> versions.Manifest:
+    """Put JSON documents in place of those with the same key, all at once.
+
+    A reader sees the documents as they were until every one is written, and a write that
+    fails leaves them so.  Documents lie in a fixed number of buckets by a hash of their
+    key, so there is no folder for each; nulls are written out.
+    """
+    known = versions.manifest(documents.sparkSession, path)
+    return versions.commit(documents, path, key, known, kind="json", options={"ignoreNullFields": "false"}, carry=True)
+
+
+def replace_storm_docs(documents: DataFrame, path: str) -> versions.Manifest:
+    """``replace_documents`` by storm: all parts of a storm are replaced together."""
+    return replace_documents(documents.withColumn("storm", F.col("metadata.storm_id")), path, ["storm"])
+
+
+def read_documents(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The documents that ``replace_documents`` last switched to."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    rows = versions.read(spark, path, versions.manifest(spark, path), kind="json", schema=schema)
+    return spark.createDataFrame([], schema) if rows is None else rows
+
+
 def write_json(documents: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     """One document per line, nulls written out; ``by`` names partition folders.
 

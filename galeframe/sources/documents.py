@@ -47,6 +47,8 @@ STORM_DOC = (
     "wind_speed:double,pressure_hpa:double,pressure_mmHg:int,forward_speed:double,direction:string,"
     "status_text:string,icon_tag:string,cone_radius_km:double>>"
 )
+# As ``sinks.replace_storm_docs`` keeps them.
+STORM_DOC_KEYED = f"{STORM_DOC}, storm string"
 
 
 def read_storm_docs(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galeframe.operators.grid_select import stride_downsample
+from galeframe.sources import rejects
 
 GRID_JSON = "lat array<double>, lon array<double>, data array<array<double>>"
 
@@ -21,16 +22,29 @@ def read_series(
 ) -> DataFrame:
     """Frames of a map type from a cells table partitioned by map type and product.
 
-    Partition filters prune folders before anything is read; unreadable files are
-    skipped, and the 1000 m wind of the wind animation is left out.
+    Partition filters prune folders before anything is read, and the 1000 m wind of the
+    wind animation is left out.  Unreadable files are skipped and are the rejects of
+    ``checked_series``; damage inside a file is an error.
     """
-    cells = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+    return checked_series(spark, path, map_type, products, downsample).rows
+
+
+def checked_series(
+    spark: SparkSession,
+    path: str,
+    map_type: str | None = None,
+    products: Sequence[str] | None = None,
+    downsample: int = 4,
+) -> rejects.Checked:
+    """``read_series`` with the files it skips: (file, size, reason)."""
+    found = rejects.read_parquet(spark, path)
+    cells = found.rows
     if map_type is not None:
         cells = cells.filter(F.col("map_type") == map_type)
     if products is not None:
         cells = cells.filter(F.col("product").isin(list(products)))
     unused = (F.col("map_type") == "wind_animation") & (F.col("product") == "wind_1000m")
-    return stride_downsample(cells.filter(~unused), downsample)
+    return rejects.Checked(stride_downsample(cells.filter(~unused), downsample), found.rejects)
 
 
 def write_cells(cells: DataFrame, path: str) -> None:

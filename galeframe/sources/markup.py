@@ -6,7 +6,7 @@ documents is parsed in one job; ``read_*`` helpers use Spark's XML source.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -155,52 +155,73 @@ PLACEMARK = (
     f"{_SHAPES},MultiGeometry:struct<{_SHAPES}>,"
     "ExtendedData:struct<Data:array<struct<_name:string,value:string>>>>"
 )
+# Comments, character data and tags of a text; what lies between them is text.
+XML_TOKEN = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[^>]*>|[^<]+|<"
 # What a placemark file consists of, in its order: containers that open and close,
 # their names, and whole placemarks.
 KML_PARTS = (
-    r"(?is)<(?:\w+:)?(?:Folder|Document)\b[^>]*>|</(?:\w+:)?(?:Folder|Document)\s*>"
-    r"|<(?:\w+:)?Placemark\b[^>]*/>|<(?:\w+:)?Placemark\b.*?</(?:\w+:)?Placemark\s*>|<(?:\w+:)?name\b[^>]*>.*?</(?:\w+:)?name\s*>"
+    r"(?is)<(?:Folder|Document)\b[^>]*(?<!/)>|</(?:Folder|Document)\s*>"
+    r"|<Placemark\b[^>]*/>|<Placemark\b.*?</Placemark\s*>|<name\b[^>]*>.*?</name\s*>"
 )
 
 
+def plain_xml(xml: Column) -> Column:
+    """A text without comments and prefixes, character data as references.
+
+    Only tags lose prefixes; texts and character data keep every character.  After this
+    every ``<`` begins a tag.
+    """
+
+    def token(t: Column) -> Column:
+        data = F.regexp_extract(t, r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1)
+        data = F.replace(F.replace(F.replace(data, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        # A placemark is parsed on its own, where prefixes have no meaning.
+        tag = F.regexp_replace(F.regexp_replace(t, r"^<(/?)[\w.-]+:", "<$1"), r"(\s)[\w.-]+:([\w.-]+\s*=)", "$1$2")
+        return F.when(~t.startswith("<"), t).when(t.startswith("<!--"), "").when(t.startswith("<![CDATA["), data).otherwise(tag)
+
+    return F.array_join(F.transform(F.regexp_extract_all(xml, F.lit(XML_TOKEN), 0), token), "")
+
+
 def _marks(documents: DataFrame, xml: str) -> DataFrame:
     """Placemarks in document order with the nearest named folder, at any depth.
 
-    The file is cut into its parts, and one pass over them keeps the stack of open
-    containers, each with the folder name that holds inside it.
+    The parts of a file are rows.  How many containers are open is a running sum; the
+    name of a container is the first one since it opened, and a placemark takes the
+    innermost of its containers that has one.  Everything is ordered by file and position
+    in one shuffle, and its work grows with the number of parts.
     """
     keys = [c for c in documents.columns if c != xml]
-    plain = F.regexp_replace(F.col(xml), r"(?s)<!--.*?-->", "")
-    # A placemark is parsed on its own, where prefixes have no meaning.
-    plain = F.regexp_replace(F.regexp_replace(plain, r"<(/?)\w+:", "<$1"), r"(\s)\w+:(\w+\s*=)", "$1$2")
-    parts = F.regexp_extract_all(plain, F.lit(KML_PARTS), 0)
-    empty = F.from_json(F.lit('{"open":[],"marks":[]}'), "open array<struct<folder:boolean,name:string>>, marks array<struct<folder:string,xml:string>>")
-    inside = lambda a: F.coalesce(F.try_element_at(F.filter(a["open"], lambda o: o["name"].isNotNull()), F.lit(-1))["name"], F.lit(""))
-
-    def entry(folder: Column, name: Column) -> Column:
-        return F.struct(folder.alias("folder"), name.cast("string").alias("name"))
-
-    def step(a: Column, part: Column) -> Column:
-        top = F.get(a["open"], F.size(a["open"]) - 1)
-        below = F.slice(a["open"], 1, F.greatest(F.lit(0), F.size(a["open"]) - 1))
-        title = text.blank_to_null(text.unescape(F.regexp_replace(F.regexp_replace(part, r"(?s)^<[^>]*>|<[^<]*>$", ""), r"<!\[CDATA\[|\]\]>", "")))
-        opens = F.when(
-            part.rlike(r"(?is)^<(folder|document)"),
-            F.concat(a["open"], F.array(entry(part.rlike("(?i)^<folder"), F.lit(None)))),
-        ).when(part.startswith("</"), below)
-        opens = opens.when(
-            part.rlike("(?i)^<name") & top["folder"] & top["name"].isNull() & title.isNotNull(), F.concat(below, F.array(entry(F.lit(True), title)))
-        ).otherwise(a["open"])
-        found = F.when(
-            part.rlike("(?i)^<placemark"),
-            F.concat(a["marks"], F.array(F.struct(inside(a).alias("folder"), part.alias("xml")))),
-        ).otherwise(a["marks"])
-        return F.struct(opens.alias("open"), found.alias("marks"))
-
-    marks = F.aggregate(parts, empty, step, lambda a: a["marks"])
-    return documents.select(*keys, F.posexplode(marks).alias("seq", "m")).select(
-        *keys, "seq", "m.folder", F.from_xml("m.xml", StructType.fromDDL(f"p {PLACEMARK}")[0].dataType).alias("p")
-    )
+    numbered = documents.withColumn("_doc", F.monotonically_increasing_id())
+    found = F.regexp_extract_all(plain_xml(F.col(xml)), F.lit(KML_PARTS), 0)
+    parts = numbered.select("_doc", *keys, F.posexplode(found).alias("_pos", "_part"))
+    part = F.col("_part")
+    kind = (
+        F.when(part.startswith("</"), "close").when(part.rlike("(?i)^<folder"), "folder").when(part.rlike("(?i)^<document"), "document")
+        .when(part.rlike("(?i)^<placemark"), "mark").otherwise("name")
+    )
+    name = text.blank_to_null(text.unescape(F.regexp_replace(part, r"(?s)^<[^>]*>|<[^<]*>$", "")))
+    file = Window.partitionBy("_doc").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("_kind").isin("folder", "document"), 1).when(F.col("_kind") == "close", -1).otherwise(0)
+    rows = parts.withColumn("_kind", kind).withColumn("_sum", F.sum(step).over(file))
+    # Closing tags without an opening one do not count.
+    rows = rows.withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(file))).where("_kind <> 'close'")
+    # A placemark asks at every level it lies in; its text travels with the innermost.
+    levels = F.when(F.col("_kind") == "mark", F.sequence(F.lit(0), F.col("_depth"))).otherwise(F.array("_depth"))
+    asked = rows.withColumn("_level", F.explode(levels))
+    asked = asked.withColumn("_part", F.when(F.col("_level") == F.col("_depth"), part))
+    opens = F.col("_kind").isin("folder", "document")
+    level = Window.partitionBy("_doc", "_level").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    asked = asked.withColumns({"_box": F.count_if(opens).over(level), "_folder": F.last(F.when(opens, F.col("_kind") == "folder"), ignorenulls=True).over(level)})
+    box = Window.partitionBy("_doc", "_level", "_box").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    named = F.first(F.when(F.col("_folder") & (F.col("_kind") == "name"), name), ignorenulls=True).over(box)
+    asked = asked.withColumn("_name", named).where("_kind = 'mark'")
+    inner = F.max_by("_name", F.when(F.col("_name").isNotNull(), F.col("_level")))
+    marks = asked.groupBy("_doc", "_pos").agg(inner.alias("folder"), F.max("_part").alias("_xml"), *(F.first(F.col(f"`{k}`")).alias(k) for k in keys))
+    order = Window.partitionBy("_doc").orderBy("_pos")
+    return marks.select(
+        *keys, (F.row_number().over(order) - 1).alias("seq"), F.coalesce("folder", F.lit("")).alias("folder"),
+        F.from_xml("_xml", StructType.fromDDL(f"p {PLACEMARK}")[0].dataType).alias("p"),
+    )
 
 
 def _shape(kind: str) -> tuple[Column, Column]:

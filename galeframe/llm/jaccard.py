@@ -43,8 +43,8 @@ SMALL = 27
 SPARE = 0.15
 # Texts of the sample from which common n-grams are known, and how many must hold one.
 SAMPLE, COMMON = 2000, 10
-# Rows whose keys travel together; their number has 14 bits beside a key.
-MOST_ROWS = 1 << 13
+# Sets and keys that travel together; the place of a set has 14 bits beside a key.
+MOST_ROWS, MOST_KEYS = 1 << 14, 1 << 19
 
 _INDEX, _PROBE = 1, 2
 _MIX = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -202,20 +202,27 @@ def _set_hash(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    text, offsets = utf8(batch.column(1))
-    parts = [shingles(text[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in doc_blocks(offsets)]
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+def _set_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, n-grams, sizes) of blocks of about BLOCK_BYTES of text."""
+    text, offsets = utf8(column)
+    for a, b in doc_blocks(offsets):
+        yield a, b, *shingles(text[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
-def _sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_hash)."""
+def _set_id(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The name of every set, 63 bits of its hash (0 for the empty one)."""
+    return (_set_hash(grams, sizes) >> np.uint64(1)).view(np.int64)
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, n_shingles, rep): the set of every row is named by ``rep``."""
 
     def step(batch: pa.RecordBatch) -> dict:
-        grams, sizes = _sets(batch)
-        return {"doc_id": batch.column(0), "n_shingles": sizes, "set_hash": _set_hash(grams, sizes).view(np.int64)}
+        found = [(sizes, _set_id(grams, sizes)) for _, _, grams, sizes in _set_blocks(batch.column(1))]
+        sizes, rep = (np.concatenate(c) for c in zip(*found))
+        return {"doc_id": batch.column(0), "text_key": batch.column(2), "n_shingles": sizes, "rep": rep}
 
-    return mapped(docs, step, "doc_id long, n_shingles long, set_hash long")
+    return mapped(docs, step, "doc_id long, text_key long, n_shingles long, rep long")
 
 
 def _common(docs: DataFrame, rows: int) -> np.ndarray:
@@ -224,82 +231,113 @@ def _common(docs: DataFrame, rows: int) -> np.ndarray:
     share = int(spread * min(1.0, SAMPLE / max(1, rows)))
 
     def step(batch: pa.RecordBatch) -> dict:
-        return {"gram": _sets(batch)[0].view(np.int64)}
+        return {"gram": np.concatenate([grams for _, _, grams, _ in _set_blocks(batch.column(1))]).view(np.int64)}
 
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("common")), F.lit(spread)) < share)
     found = mapped(chosen, step, "gram long").groupBy("gram").count().where(F.col("count") >= COMMON).select("gram")
     return np.sort(found.toArrow().column(0).to_numpy().view(np.uint64))
 
 
+def _packed(held: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
+    """Keys of many texts as one row to a bucket: the names of the sets that have keys in
+    it, and the keys, each with the place of its set's name in that list."""
+    rep, key, role = (np.concatenate(c) for c in zip(*held))
+    bucket = ((key >> np.uint64(48)).astype(np.int64) % buckets).astype(np.int32)
+    order = np.lexsort((rep, bucket))
+    rep, key, role, bucket = rep[order], key[order], role[order], bucket[order]
+    head = np.r_[True, bucket[1:] != bucket[:-1]]
+    other = head | np.r_[True, rep[1:] != rep[:-1]]  # another set than the row before
+    cut = np.flatnonzero(head)
+    number = np.cumsum(other) - 1
+    place = number - number[cut][np.cumsum(head) - 1]
+    packed = (key << np.uint64(16) | (place << 2 | role).astype(np.uint64)).astype("<u8")
+    names, name_cut = rep[other].astype("<i8"), np.append(number[cut], number[-1] + 1)
+    ends = np.append(cut[1:], len(bucket))
+    return pa.RecordBatch.from_pydict(
+        {
+            "bucket": pa.array(bucket[cut], pa.int32()),
+            "names": pa.array([names[a:b].tobytes() for a, b in zip(name_cut[:-1], name_cut[1:])], pa.binary()),
+            "keys": pa.array([packed[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
+        }
+    )
+
+
 def _meetings(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(meeting, doc_id, probe): the sets that share a key, where one of them looks.
+    """(meeting, rep, probe): the sets that share a key, where one of them looks.
 
-    The keys of a task's texts travel as one array per bucket, eight bytes a key; equal
-    sets of a task travel once.  Keys that the same sets share count as one meeting.
+    The keys of a task's texts travel as one array per bucket, eight bytes a key and eight
+    for each set that has keys in the bucket, so what travels for a text does not depend
+    on the number of buckets.  Equal sets of a block travel once.  A task sorts what it
+    received by bucket and holds one bucket at a time.  Keys that the same sets share
+    count as one meeting.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(common)
     buckets = min(1 << 16, 8 * tasks(spark))
 
     def to_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, MOST_ROWS) for b in batches for k in range(0, b.num_rows, MOST_ROWS)):
-            grams, sizes = _sets(batch)
-            ids = batch.column(0).to_numpy().astype(np.int64)
-            hashes = _set_hash(grams, sizes)
-            hashes[sizes == 0] = np.uint64(0)
-            _, once = np.unique(hashes, return_index=True)
-            keep = np.zeros(len(sizes), bool)
-            keep[once] = True
-            sizes_kept = np.where(keep, sizes, 0)
-            grams = grams[np.repeat(keep, sizes)]
-            row, key, role = keys(grams, sizes_kept, shared.value)
-            bucket = (key >> np.uint64(48)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
-            packed = (key << np.uint64(16) | (row << 2 | role).astype(np.uint64))[order]
-            bucket, row = bucket[order], row[order]
-            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
-            ends = np.append(cut[1:], len(bucket)) if len(bucket) else []
-            steps = np.diff(ids, prepend=0).astype("<i8").tobytes()
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "bucket": pa.array(bucket[cut] if len(bucket) else [], pa.int32()),
-                    "steps": pa.array([steps] * len(cut), pa.binary()),
-                    "keys": pa.array([packed[a:b].astype("<u8").tobytes() for a, b in zip(cut, ends)], pa.binary()),
-                }
-            )
+        held, rows, size = [], 0, 0
+        for batch in batches:
+            for _, _, grams, sizes in _set_blocks(batch.column(1)):
+                rep = _set_id(grams, sizes)
+                _, once = np.unique(rep, return_index=True)
+                keep = np.zeros(len(sizes), bool)
+                keep[once] = True
+                keep &= sizes > 0
+                row, key, role = keys(grams[np.repeat(keep, sizes)], np.where(keep, sizes, 0), shared.value)
+                if held and (rows + len(once) > MOST_ROWS or size + len(key) > MOST_KEYS):
+                    yield _packed(held, buckets)
+                    held, rows, size = [], 0, 0
+                for a in range(0, len(once), MOST_ROWS):  # rows of one block are few, but for empty texts
+                    part = np.isin(row, once[a : a + MOST_ROWS])
+                    if a and held:
+                        yield _packed(held, buckets)
+                        held, rows, size = [], 0, 0
+                    if part.any():
+                        held.append((rep[row[part]], key[part], role[part]))
+                        rows, size = rows + min(MOST_ROWS, len(once) - a), size + int(part.sum())
+        if held:
+            yield _packed(held, buckets)
+
+    def meet_one(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
+        packed, rep = (np.concatenate(c) for c in zip(*parts))
+        key = packed >> np.uint64(16)
+        order = np.lexsort((rep, key))
+        key, rep, packed = key[order], rep[order], packed[order]
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (rep[1:] != rep[:-1])]
+        key, rep, probe = key[fresh], rep[fresh], (packed[fresh] & np.uint64(_PROBE)) > 0
+        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.append(cut, len(key)))
+        use = (size > 1) & (np.add.reduceat(probe, cut, dtype=np.int64) > 0)
+        cut, size = cut[use], size[use]
+        if not len(cut):
+            return None
+        at = ragged(cut, size)
+        rep, probe = rep[at], probe[at]
+        cut = np.cumsum(size) - size
+        name = np.add.reduceat(mixed(rep.view(np.uint64) * np.uint64(2) + probe), cut) + size.astype(np.uint64)
+        name, first = np.unique(name, return_index=True)
+        at = ragged(cut[first], size[first])
+        return pa.RecordBatch.from_pydict({"meeting": np.repeat(mixed(name), size[first]).view(np.int64), "rep": rep[at], "probe": probe[at]})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        bucket, parts = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.cumsum(np.frombuffer(row["steps"], "<i8"))
-                packed = np.frombuffer(row["keys"], "<u8")
-                held.setdefault(row["bucket"], []).append((packed, ids[(packed >> np.uint64(2)).astype(np.int64) & 0x3FFF]))
-        for parts in held.values():
-            packed, ids = (np.concatenate(c) for c in zip(*parts))
-            parts.clear()
-            key = packed >> np.uint64(16)
-            order = np.lexsort((ids, key))
-            key, ids = key[order], ids[order]
-            probe = (packed[order] & np.uint64(_PROBE)) > 0
-            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            size = np.diff(np.append(cut, len(key)))
-            use = (size > 1) & (np.add.reduceat(probe, cut, dtype=np.int64) > 0)
-            cut, size = cut[use], size[use]
-            if not len(cut):
-                continue
-            at = ragged(cut, size)
-            ids, probe = ids[at], probe[at]
-            cut = np.cumsum(size) - size
-            name = np.add.reduceat(mixed(ids.view(np.uint64) * np.uint64(2) + probe), cut) + size.astype(np.uint64)
-            name, first = np.unique(name, return_index=True)
-            at = ragged(cut[first], size[first])
-            yield pa.RecordBatch.from_pydict(
-                {"meeting": np.repeat(mixed(name), size[first]).view(np.int64), "doc_id": ids[at], "probe": probe[at]}
-            )
-
-    dealt = docs.mapInArrow(to_keys, "bucket int, steps binary, keys binary")
-    return dealt.repartition(tasks(spark), "bucket").mapInArrow(meet, "meeting long, doc_id long, probe boolean")
+            of = batch.column(0).to_numpy()
+            for k in range(batch.num_rows):
+                if of[k] != bucket:
+                    if parts and (out := meet_one(parts)) is not None:
+                        yield out
+                    bucket, parts = of[k], []
+                names, packed = (np.frombuffer(batch.column(c)[k].as_buffer(), kind) for c, kind in ((1, "<i8"), (2, "<u8")))
+                # Copied: the batch is given back before the bucket is complete.
+                parts.append((packed.copy(), names[(packed >> np.uint64(2)).astype(np.int64) & 0x3FFF]))
+        if parts and (out := meet_one(parts)) is not None:
+            yield out
+
+    dealt = docs.mapInArrow(to_keys, "bucket int, names binary, keys binary")
+    sorted_ = dealt.repartition(tasks(spark), "bucket").sortWithinPartitions("bucket")
+    return sorted_.mapInArrow(meet, "meeting long, rep long, probe boolean")
 
 
 _LINKED = "100 * shared >= 75 * (nu + nv - shared)"
@@ -307,8 +345,8 @@ _LINKED = "100 * shared >= 75 * (nu + nv - shared)"
 
 def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v, nu, nv, shared): sizes and intersection of the sets of every pair."""
-    left = sets.select(F.col("doc_id").alias("u"), F.col("grams").alias("gu"))
-    right = sets.select(F.col("doc_id").alias("v"), F.col("grams").alias("gv"))
+    left = sets.select(F.col("rep").alias("u"), F.col("grams").alias("gu"))
+    right = sets.select(F.col("rep").alias("v"), F.col("grams").alias("gv"))
     both = pairs.join(left, "u").join(right, "v")
     return both.select("u", "v", F.size("gu").alias("nu"), F.size("gv").alias("nv"), F.size(F.array_intersect("gu", "gv")).alias("shared"))
 
@@ -349,8 +387,8 @@ def _through_rest(placed: DataFrame, sets: DataFrame) -> DataFrame:
     main = docs.select(F.col("rep").alias("home"), F.col("c").alias("main")).distinct()
     docs = docs.where("rep <> home").join(main, "home", "left").withColumn("left", F.expr("main IS NULL OR c <> main"))
     family = docs.groupBy("home").agg(F.min("n").alias("small"), F.max("left").alias("any")).where("any").drop("any")
-    docs = docs.join(family, "home").join(sets.select(F.col("doc_id").alias("rep"), "grams"), "rep")
-    docs = docs.join(sets.select(F.col("doc_id").alias("home"), F.col("grams").alias("base")), "home")
+    docs = docs.join(family, "home").join(sets.select("rep", "grams"), "rep")
+    docs = docs.join(sets.select(F.col("rep").alias("home"), F.col("grams").alias("base")), "home")
     rest = docs.select("home", "rep", "n", "c", "i", "left", "small", F.explode(F.array_except("grams", "base")).alias("gram"))
     rest = kept(rest, "rest")
     common = rest.groupBy("home", "gram").agg(F.count("*").alias("df")).where("df > 1")
@@ -372,35 +410,32 @@ def _possible(n1: str, s1: str, n2: str, s2: str) -> Column:
     return (7 * F.least(s1, s2) >= 3 * (n1 + n2)) & (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2))
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of documents.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_key) of rows with an id; the key tells texts of one id apart."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    return own.where("doc_id IS NOT NULL")
 
-    The component is the smallest doc_id reachable by links, the row's own included.
-    Null and empty texts and texts without words have no shingles and no links; repeated
-    rows, ties and equal texts share a component.  Rows without doc_id are left out;
-    other columns are not read.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    sized = kept(_sizes(docs), "sizes")
-    reps = sized.where("n_shingles > 0").groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    named = kept(sized.join(reps, ["set_hash", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "named")
-    common = _common(docs, sized.count())
-    met = _meetings(docs, common)
-    of = named.select("doc_id", "rep").distinct()
-    met = kept(met.join(of, "doc_id").groupBy("meeting", "rep").agg(F.max("probe").alias("probe")), "meetings")
+
+def _linked(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """(node, component) of the sets that are linked with another one."""
+    common = _common(docs, named.count())
+    met = kept(_meetings(docs, common).groupBy("meeting", "rep").agg(F.max("probe").alias("probe")), "meetings")
+    # One text for every set that meets another.
+    firsts = named.where("n_shingles > 0").groupBy("rep").agg(F.min(F.struct("doc_id", "text_key")).alias("f"))
+    firsts = firsts.join(met.select("rep").distinct(), "rep", "left_semi").select("f.doc_id", "f.text_key")
 
     def to_sets(batch: pa.RecordBatch) -> dict:
-        grams, sizes = _sets(batch)
+        found = [(grams, sizes, _set_id(grams, sizes)) for _, _, grams, sizes in _set_blocks(batch.column(1))]
+        grams, sizes, rep = (np.concatenate(c) for c in zip(*found))
         ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
-        return {"doc_id": batch.column(0), "grams": pa.ListArray.from_arrays(ends, pa.array(grams.view(np.int64)))}
+        return {"rep": rep, "grams": pa.ListArray.from_arrays(ends, pa.array(grams.view(np.int64)))}
 
-    members = met.select(F.col("rep").alias("doc_id")).distinct()
-    held = mapped(docs.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]), to_sets, "doc_id long, grams array<long>")
-    sets = kept(held, "sets")
+    chosen = docs.join(firsts, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    sets = kept(mapped(chosen.select("doc_id", "text"), to_sets, "rep long, grams array<long>"), "sets")
     # N-grams that no other set has cannot be shared, which bounds every similarity.
-    owned = sets.select("doc_id", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"))
+    owned = sets.select("rep", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
     owned = owned.where("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
-    bounds = sets.select(F.col("doc_id").alias("rep"), F.size("grams").alias("n")).join(owned, "rep", "left")
+    bounds = sets.select("rep", F.size("grams").alias("n")).join(owned, "rep", "left")
     bounds = bounds.select("rep", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("s")).where("4 * s >= 3 * n")
     met = kept(met.join(bounds, "rep"), "meetings")
 
@@ -421,16 +456,62 @@ def groups(docs: DataFrame) -> DataFrame:
     pairs = _direct(placed).union(_through_rest(placed, sets)).distinct()
     pairs = pairs.join(tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
     more = kept(_shared(pairs, sets).where(_LINKED).select("u", "v"), "links")
-    if not more.isEmpty():
-        found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
-    out = named.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    return found if more.isEmpty() else _joined(found, more)
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links (u, v)."""
+    return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links))
+
+
+def _labelled(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """``sets`` (with ``rep``) and the component of each as ``label``."""
+    return sets.join(found.withColumnsRenamed({"node": "rep", "component": "label"}), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of documents.
+
+    The component is the smallest doc_id reachable by links, the row's own included.
+    Null and empty texts and texts without words have no shingles and no links; repeated
+    rows, ties and equal texts share a component.  Rows of one doc_id with different texts
+    have a row and a size each, and what is linked with any of the texts is reachable
+    from that id.  Rows without doc_id are left out; other columns are not read.
+    """
+    docs = _keyed(docs)
+    named = kept(_named(docs), "named")
+    found = _linked(docs, named)
+    # Texts of one id belong together.
+    owners = named.where("n_shingles > 0").select("doc_id", "rep").distinct()
+    several = owners.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("w")).where("u <> w").select("doc_id", "u")
+    twins = kept(owners.join(several, "doc_id").where("rep <> u").select("u", F.col("rep").alias("v")), "twins")
+    if not twins.isEmpty():
+        found = _joined(found, twins)
+    sets = kept(_labelled(named.where("n_shingles > 0").groupBy("rep").agg(F.min("doc_id").alias("least")), found), "labels")
+    least = sets.groupBy("label").agg(F.min("least").alias("component_id"))
+    of = sets.join(least, "label").select("rep", "component_id")
+    out = named.join(of, "rep", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that stay when one document of each group stays: the one whose
-    doc_id names the group; of repeated rows of that id one, and rows without id."""
-    stay = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept_rows = docs.join(stay, docs.doc_id.cast("long") == stay.doc_id, "left_semi")
-    return kept_rows.dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))
+    """Rows of ``docs`` that stay when one row of each group of near copies stays: that of
+    the least doc_id, and among texts of that id the one of least hash.
 
+    Of repeated rows the one of least hash over all columns stays.  Rows of one doc_id
+    whose texts are no near copies all stay, and so do rows without words and rows
+    without id, which are linked with nothing.
+    """
+    keyed = _keyed(docs)
+    named = kept(_named(keyed), "named")
+    some = named.where("n_shingles > 0").groupBy("rep").agg(F.min(F.struct("doc_id", "text_key")).alias("f"))
+    stay = _labelled(some, _linked(keyed, named)).groupBy("label").agg(F.min("f").alias("f")).select("f.*")
+    bare = named.where("n_shingles = 0").select("doc_id", "text_key").distinct()
+    marks = kept(stay.withColumn("worded", F.lit(True)).unionByName(bare.withColumn("worded", F.lit(False))), "stay")
+    marks = marks.select(F.col("doc_id").alias("_gf_id"), F.col("text_key").alias("_gf_text"), F.col("worded").alias("_gf_worded"))
+    names = [f"`{c}`" for c in docs.columns]
+    same = (docs["doc_id"].cast("long") == marks["_gf_id"]) & (F.xxhash64(docs["text"]) == marks["_gf_text"])
+    rows = docs.join(marks, same)
+    one = F.min_by(F.struct(*names), F.xxhash64(*names)).alias("_gf_row")
+    once = rows.where("_gf_worded").groupBy("_gf_id", "_gf_text").agg(one).select("_gf_row.*")
+    return once.unionAll(rows.where("NOT _gf_worded").select(*names)).unionAll(docs.where("doc_id IS NULL"))

@@ -20,6 +20,8 @@ from galeframe.session import prepare, scratch_dir
 # Rows of a batch handed to Python.  Whole texts travel in it, so it is far below
 # Spark's default of 10,000.
 BATCH_ROWS = 1000
+# Bytes of a batch; it may exceed them by one row.
+BATCH_BYTES = 8 << 20
 
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -43,6 +45,7 @@ def ready(spark: SparkSession) -> SparkSession:
     prepare(spark)
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

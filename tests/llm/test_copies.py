@@ -91,6 +91,32 @@ def test_one_of_each(spark, docs, texts):
     assert sorted((r[0] or -1) for r in jaccard.one_of_each(twice).select("doc_id").collect()) == [-1, -1, 1]
 
 
+def test_several_texts_of_one_id(spark):
+    """Each text of an id links what it is near to; none is lost, and no row goes but a near copy."""
+    rng = random.Random(4)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(7, a, "en"), (7, b, "en"), (9, a + " end", "en"), (11, b + " end", "en"), (13, c, "en"), (15, c, "en"), (15, None, "en"), (15, " ", "en")]
+    got = sorted(tuple(r) for r in jaccard.groups(frame(spark, rows).repartition(3)).collect())
+    sizes = {i: len(shingle_set(t)) for i, t in (("a", a), ("b", b), ("c", c))}
+    want = [(7, sizes["a"], 7), (7, sizes["b"], 7), (9, sizes["a"] + 1, 7), (11, sizes["b"] + 1, 7), (13, sizes["c"], 13), (15, sizes["c"], 13), (15, 0, 15), (15, 0, 15)]
+    assert got == sorted(want)
+    stay = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(frame(spark, rows).repartition(3)).collect()), key=repr)
+    assert stay == sorted([(7, a), (7, b), (13, c), (15, None), (15, " ")], key=repr)
+
+
+def test_keys_of_a_text_do_not_grow_with_the_buckets():
+    rng = np.random.default_rng(2)
+    held = [(rng.integers(0, 2**62, 300), rng.integers(0, 2**63, 300).astype(np.uint64), np.full(300, 3)) for _ in range(4)]
+    for buckets in (6, 211, 10_000):
+        out = jaccard._packed(held, buckets)
+        assert sum(len(v) for c in (1, 2) for v in out.column(c).to_pylist()) <= 16 * 1200
+        pairs = set()
+        for names, packed in zip(out.column(1).to_pylist(), out.column(2).to_pylist()):
+            names, packed = np.frombuffer(names, "<i8"), np.frombuffer(packed, "<u8")
+            pairs |= set(zip(names[(packed >> np.uint64(2)).astype(int) & 0x3FFF].tolist(), (packed >> np.uint64(16)).tolist()))
+        assert pairs == {(int(r), int(k) & (1 << 48) - 1) for rep, key, _ in held for r, k in zip(rep, key)}
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 9), (9, 1), (20, 21), (22, 21), (7, 7), *[(100 + k, 101 + k) for k in range(30)]]
     got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

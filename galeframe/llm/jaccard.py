@@ -482,11 +482,11 @@ def groups(docs: DataFrame) -> DataFrame:
     named = kept(_named(docs), "named")
     found = _linked(docs, named)
     # Texts of one id belong together.
-    owners = named.where("n_shingles > 0").select("doc_id", "rep").distinct()
+    owners = named.where("n_shingles > 0")
     several = owners.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("w")).where("u <> w").select("doc_id", "u")
-    twins = kept(owners.join(several, "doc_id").where("rep <> u").select("u", F.col("rep").alias("v")), "twins")
-    if not twins.isEmpty():
-        found = _joined(found, twins)
+    several = kept(several, "several")
+    if not several.isEmpty():
+        found = _joined(found, owners.join(several, "doc_id").where("rep <> u").select("u", F.col("rep").alias("v")))
     sets = kept(_labelled(named.where("n_shingles > 0").groupBy("rep").agg(F.min("doc_id").alias("least")), found), "labels")
     least = sets.groupBy("label").agg(F.min("least").alias("component_id"))
     of = sets.join(least, "label").select("rep", "component_id")

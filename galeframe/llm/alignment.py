@@ -15,16 +15,16 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galeframe.llm.ranks import byte_letters, ragged
+from galeframe.llm.ranks import Encoder, byte_letters, ragged
 from galeframe.llm.support import kept, mapped
 
 # Bytes of a fragment; texts of more are aligned in several tasks.
@@ -52,18 +52,20 @@ class Tokens:
         return self.data[ragged(self.starts[ids], self.lengths[ids])]
 
 
+class PlainEncoder(Encoder):
+    """An encoder for which the strings of special tokens are plain text."""
+
+    def encode_one(self, text: str) -> np.ndarray:
+        return np.array([i for word in self.splits.findall(text) for i in self.merge_one(word.encode())], np.int32)
+
+
 class Pair:
     """A byte-level tokenizer file (A) and a piece model (B)."""
 
     def __init__(self, byte_level: str, pieces: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self._a = Tokenizer.from_file(byte_level)
-        self._a.encode_special_tokens = True  # their strings are plain text
-        self._a.no_truncation()
-        self._a.no_padding()
+        self._a = PlainEncoder(byte_level)
         with open(byte_level, encoding="utf-8") as file:
             spec = json.load(file)
         letters = byte_letters()
@@ -82,14 +84,12 @@ class Pair:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of A (of a space and the text) and how many each text has, and those of B."""
-        a = [e.ids for e in self._a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        spaced = [b" " + t.encode() for t in texts]
+        offsets = np.append(0, np.cumsum([len(t) for t in spaced]))
+        a, count_a = self._a.encode(np.frombuffer(b"".join(spaced), np.uint8), offsets)
         b = self._b.encode(texts, num_threads=1)
-        return (*_flat(a), *_flat(b))
-
-
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for ids in lists for i in ids), np.int64, int(counts.sum())), counts
+        count_b = np.fromiter(map(len, b), np.int64, len(b))
+        return a.astype(np.int64), count_a, np.fromiter(chain.from_iterable(b), np.int64, int(count_b.sum())), count_b
 
 
 def _digits(size: int) -> np.ndarray:
@@ -142,7 +142,9 @@ def links(pair: Pair, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndar
 
     Every stretch between two ends of tokens is the overlap of one pair of tokens.
     """
-    ends = np.union1d(a[:, 1], b[:, 1])
+    ends = np.concatenate([a[:, 1], b[:, 1]])
+    ends.sort(kind="stable")  # two runs that are sorted already
+    ends = ends[np.append(True, ends[1:] != ends[:-1])[: len(ends)]]
     left = a[np.searchsorted(a[:, 1], ends, "left"), 0]
     right = b[np.searchsorted(b[:, 1], ends, "left"), 0]
     return left * pair.b.size + right, ends

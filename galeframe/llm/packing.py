@@ -2,11 +2,15 @@
 
 A configuration is a multiset of piece lengths that fits one sequence.  The linear
 program over the length histogram (use as few configurations as cover all pieces) is
-solved by multiplicative weights: every round prices a length by how little of it is
-covered so far, a knapsack over the capacity finds the configuration of greatest price,
-and its share grows.  Shares are rounded down; the rest, and the room left in the
-rounded configurations, go to best fit on the histogram, where equal bins move together.
-Everything on the driver is as large as the capacity, whatever the number of pieces.
+solved by multiplicative weights: every round prices a length by its size and by how
+little of it is covered so far, and one knapsack over the capacity, bounded by the pieces
+that are left, gives for each length the configuration of greatest price that holds it.
+Those near the best price take shares, none more than half of what is left of a length.
+A share is rounded down to whole sequences when it is taken, so rounding frees its pieces
+for later rounds.  Rounds go on until the pieces left fit one sequence; these, and the
+room left in the configurations, go to best fit on the histogram, where equal bins move
+together.  Everything on the driver is as large as the capacity squared, whatever the
+number of pieces; rounds grow with the logarithm of it.
 """
 
 from __future__ import annotations
@@ -22,78 +26,99 @@ from pyspark.sql import functions as F
 from galeframe.llm.ranks import encoder
 from galeframe.llm.support import kept, mapped, tasks, utf8
 
-ROUNDS = 200
 # How sharply a covered length loses its price.
-RATE = 6.0
+RATE = 0.05
+# Prices grow with this power of the length: long pieces are the harder ones to place.
+POWER = 1.4
+# Configurations below this part of the best price take no share.
+NEAR = 0.9
 
 
-def _knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> list[int]:
-    """Indices (with repetition) of the lengths of greatest total price that fit."""
+def _knapsack(prices: np.ndarray, lengths: np.ndarray, left: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Greatest price for every room, and which lots of equal pieces it takes.
+
+    A length is at hand ``left`` times, in lots of 1, 2, 4 ... pieces.
+    """
+    of, lot = [], []
+    for i in range(len(lengths) - 1, -1, -1):
+        most, size = min(int(left[i]), capacity // int(lengths[i])), 1
+        while most:
+            size = min(size, most)
+            of.append(i)
+            lot.append(size)
+            most, size = most - size, 2 * size
     best = np.zeros(capacity + 1)
-    take = np.full(capacity + 1, -1, np.int64)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        if k := fits[room]:
-            value = best[room - lengths[:k]] + prices[:k]
-            i = int(value.argmax())
-            if value[i] > best[room]:
-                best[room], take[room] = value[i], i
-    chosen, room = [], capacity
-    while room > 0:
-        if take[room] < 0:
-            room -= 1
-        else:
-            chosen.append(int(take[room]))
-            room -= int(lengths[chosen[-1]])
-    return chosen
-
-
-def fractional(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], float]]:
-    """(configuration, share) pairs of the linear program, by multiplicative weights."""
-    lengths = np.array(sorted(counts))
-    need = np.array([counts[n] for n in lengths.tolist()], float)
-    covered = np.zeros(len(lengths))
-    shares: dict[tuple[int, ...], float] = {}
-    for _ in range(rounds):
-        open_ = covered < need
-        if not open_.any():
-            break
-        prices = np.where(open_, np.exp(-RATE * covered / need) * lengths, 0.0)
-        used = np.bincount(_knapsack(prices, lengths, capacity), minlength=len(lengths))
-        used = np.minimum(used, need)
-        hit = used > 0
-        # A step covers at most a quarter of what is left of any length it uses.
-        left = np.maximum(need - covered, 0)[hit] / used[hit]
-        step = max(float(left.min()) / 4, min(1.0, float(left.min())))
-        covered += step * used
-        key = tuple(np.repeat(lengths, used.astype(int)).tolist())
-        shares[key] = shares.get(key, 0.0) + step
-    return list(shares.items())
+    taken = np.zeros((len(of), capacity + 1), bool)
+    weights = lengths[of] * np.array(lot)
+    worth = prices[of] * np.array(lot)
+    for k, (weight, price) in enumerate(zip(weights.tolist(), worth.tolist())):
+        value = best[: capacity + 1 - weight] + price
+        np.greater(value, best[weight:], out=taken[k, weight:])
+        np.maximum(value, best[weight:], out=best[weight:])
+    return best, taken, np.array(of), np.array(lot)
+
+
+def _priced(prices: np.ndarray, lengths: np.ndarray, left: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For lengths that are left: the configuration of greatest price that holds the length,
+    and this price in parts of the best one, greatest first."""
+    best, taken, of, lot = _knapsack(prices, lengths, left, capacity)
+    seeds = np.flatnonzero(left > 0)
+    room = capacity - lengths[seeds]
+    value = prices[seeds] + best[room]
+    uses = np.zeros((len(seeds), len(lengths)), np.int32)
+    uses[np.arange(len(seeds)), seeds] = 1
+    for k in range(len(of) - 1, -1, -1):
+        rows = np.flatnonzero(taken[k, room])
+        uses[rows, of[k]] += lot[k]
+        room[rows] -= lengths[of[k]] * lot[k]
+    order = np.lexsort((-lengths[seeds], -value))
+    uses, value = uses[order], value[order] / best[capacity]
+    # The knapsack for the rest may take a piece more of the seed than there is.
+    there = (uses <= left).all(1)
+    return (uses[there], value[there]) if there.any() else (np.minimum(uses[:1], left), value[:1])
+
+
+def configurations(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """(configuration, whole share) pairs of the linear program, by multiplicative weights.
+
+    They hold no piece twice, and all but the pieces that fit one last sequence.
+    """
+    lengths = np.array(sorted(counts), np.int64)
+    need = np.array([counts[n] for n in lengths.tolist()], np.int64)
+    left = need.copy()
+    shares: dict[tuple[int, ...], int] = {}
+    while int(left @ lengths) > capacity:
+        prices = np.where(left > 0, lengths**POWER * np.exp(-RATE * (1 - left / need)), 0.0)
+        most = -(-left // 2)
+        uses, value = _priced(prices, lengths, left, capacity)
+        for k in range(int(np.count_nonzero(value >= NEAR)) or 1):
+            held = np.flatnonzero(uses[k])
+            used = uses[k, held]
+            share = int((most[held] // used).min())
+            if k == 0:  # the best one always takes a share, so every round ends nearer
+                share = max(share, 1)
+            if share > 0:
+                left[held] -= share * used
+                most[held] -= share * used
+                key = tuple(np.repeat(lengths[held], used).tolist())
+                shares[key] = shares.get(key, 0) + share
+    return [(list(c), n) for c, n in shares.items()]
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """(lengths in a sequence, number of such sequences) that hold every piece once.
-
-    With few pieces rounding down loses most shares and may leave worse rests than it
-    found; the shares are then rounded to nothing, if that takes fewer sequences.
-    """
+    """(lengths in a sequence, number of such sequences) that hold every piece once."""
     left = {n: c for n, c in counts.items() if 0 < n <= capacity and c}
-    if not left:
-        return []
-    shares = fractional(left, capacity)
-    return min((_rounded(dict(left), s, capacity) for s in (shares, [])), key=lambda p: sum(t for _, t in p))
+    return _completed(left, configurations(left, capacity), capacity) if left else []
 
 
-def _rounded(left: dict[int, int], shares: list[tuple[tuple[int, ...], float]], capacity: int) -> list[tuple[list[int], int]]:
+def _completed(left: dict[int, int], shares: list[tuple[list[int], int]], capacity: int) -> list[tuple[list[int], int]]:
+    """``shares`` and, by best fit into their rooms and into new sequences, the other pieces."""
+    left = dict(left)
     groups: dict[int, list[tuple[list[int], int]]] = {}  # by free room
-    for lengths, share in shares:
-        need = {n: lengths.count(n) for n in set(lengths)}
-        times = min([int(share), *(left[n] // k for n, k in need.items())])
-        if times:
-            for n, k in need.items():
-                left[n] -= k * times
-            groups.setdefault(capacity - sum(lengths), []).append((list(lengths), times))
+    for lengths, times in shares:
+        for n in lengths:
+            left[n] -= times
+        groups.setdefault(capacity - sum(lengths), []).append((lengths, times))
     rooms = sorted(groups)
     for n in sorted(left, reverse=True):
         rest = left[n]

@@ -147,3 +147,37 @@ def test_plan_holds_every_piece_once():
         bound = max(-(-int(lengths.sum()) // 2048), int((lengths > 1024).sum()))
         assert bins <= 1.03 * bound + 2
     assert packing.plan({}, 2048) == []
+
+
+def test_linear_program_places_the_pieces():
+    rng = np.random.default_rng(1)
+    for lengths in (rng.integers(1, 2049, 3000), np.minimum(rng.lognormal(6.2, 1.0, 5000).astype(int) + 1, 2048), rng.integers(200, 900, 2000)):
+        counts = Counter(lengths.tolist())
+        placed = Counter()
+        for held, share in packing.configurations(counts, 2048):
+            assert sum(held) <= 2048 and share >= 1
+            for n in held:
+                placed[n] += share
+        assert all(placed[n] <= c for n, c in counts.items())
+        assert placed.total() >= 0.9 * len(lengths)
+        assert sum(n * (c - placed[n]) for n, c in counts.items()) <= 2048
+        bins = sum(t for _, t in packing.plan(counts, 2048))
+        assert bins <= best_fit(sorted(lengths.tolist(), reverse=True), 2048)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_few_pieces_take_no_more_sequences_than_best_fit(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(20, 300))
+    for lengths in (rng.integers(1, 513, n), rng.choice([1, 12, 33, 41, 170, 171, 227, 300, 512], n)):
+        bins = sum(t for _, t in packing.plan(Counter(lengths.tolist()), 512))
+        assert bins <= best_fit(sorted(lengths.tolist(), reverse=True), 512)
+
+
+def test_rounds_of_a_large_histogram():
+    rng = np.random.default_rng(2)
+    counts = {int(n): int(c) for n, c in zip(rng.permutation(2048)[:300] + 1, rng.integers(1, 10**9, 300))}
+    packed = packing.plan(counts, 2048)
+    assert sum(len(held) * t for held, t in packed) == sum(counts.values())
+    best = sum(t for _, t in packing._completed(counts, [], 2048))
+    assert sum(t for _, t in packed) <= 1.0001 * best

@@ -8,8 +8,10 @@ from dataclasses import dataclass
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|video|audio|head(?=[\s>]))\b(?P<head>[^>]*)>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?",
+    r"|<(?P<raw>script|style|noscript|template|svg|annotation(?:-xml)?|iframe|textarea|select|title|canvas|video|audio|head(?=[\s>]))\b(?P<head>[^>]*)>"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)"
+    # Values in quotes, which open after the equals sign only, may hold >; others end there.
+    r"(?P<rest>(?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?)*+)>?",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -18,7 +20,7 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 # Tags that do not end a block (fixed by HTML); all others do.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp "
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math object param q ruby rp rt s samp "
     "small span strike strong sub sup time tt u var wbr".split()
 )
 # Tags without content (fixed by HTML).
@@ -30,6 +32,9 @@ _ENDS = {
     "option": ({"option"}, {"select"}),
 }
 
+# Tags that cannot stand in a formula and end an unclosed one.
+_ENDS_FORMULA = frozenset("article body div footer h1 h2 h3 h4 h5 h6 header li main nav ol p section table td tr ul".split())
+
 
 @dataclass(slots=True)
 class Leaf:
@@ -49,12 +54,18 @@ def _element(tag: str, rest: str) -> str:
 
 
 def leaves(page: str) -> list[Leaf]:
-    """Leaf blocks of a page in order.  Scripts, styles, comments and the head have none;
-    character references are decoded and white space becomes single spaces."""
+    """Leaf blocks of a page in order.
+
+    Character references are decoded and white space becomes single spaces.  Formulas and
+    the text inside objects belong to the block around them.  No text comes from scripts,
+    styles, templates, markup comments and the head, from drawings (svg), the contents of
+    form fields (textarea, select) and what is shown only if a part cannot be (noscript,
+    iframe, canvas, video, audio, annotations of formulas).
+    """
     out: list[Leaf] = []
     stack: list[tuple[str, str]] = []
     held: list[str] = []
-    linked = links = 0
+    linked = links = formulas = 0
 
     def flush() -> None:
         nonlocal linked
@@ -97,7 +108,12 @@ def leaves(page: str) -> list[Leaf]:
         tag = match["tag"].lower()
         if tag == "br":
             held.append(" ")
-        elif tag in INLINE:
+        elif tag in INLINE or formulas:
+            if tag == "math":
+                formulas = max(0, formulas + (-1 if match["close"] else 0 if match["rest"].endswith("/") else 1))
+            elif formulas and tag in _ENDS_FORMULA:
+                formulas = 0
+                at = match.start()
             if tag == "a":
                 links = max(0, links + (-1 if match["close"] else 1))
         elif match["close"]:

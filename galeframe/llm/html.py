@@ -24,10 +24,14 @@ from galeframe.llm.blocks import Leaf, leaves
 from galeframe.llm.support import mapped
 from galeframe.llm.words import letter_words, lowered, word_hashes
 
-# Bounds of the sample, and of what is fitted on.
+# Bounds of the sample: pages, and characters of a page that may be in it.
 SAMPLE_PAGES = 160
+SAMPLE_CHARS = 1 << 18
+# Generated layouts, and characters of a line of text or of what is around it in these.
 LAYOUTS = 700
-MOST_BLOCKS = 80
+TEXT_CHARS, AROUND_CHARS = 1500, 300
+# Sampled pages are read whole, in windows of so many blocks while fitting.
+WINDOW = 400
 PATH_SLOTS, WORD_SLOTS, MEASURES = 160, 48, 8
 WIDTH = PATH_SLOTS + WORD_SLOTS + MEASURES
 HIDDEN = 20
@@ -317,17 +321,19 @@ def fit(pages: list[str], layouts: int = LAYOUTS) -> Labeller:
     """A labeller from a sample of pages; without pages it knows the layouts alone."""
     rows, labels, text, around = [], [], [], []
     for page in pages:
-        found = leaves(page)[:MOST_BLOCKS]
+        found = leaves(page)
         own = own_labels(found) if found else None
         if own is None:
             continue
-        rows.append(vectors([found]))
-        labels.append(own)
-        text += [leaf.text[:1500] for leaf, y in zip(found, own) if y]
-        around += [leaf.text[:300] for leaf, y in zip(found, own) if not y]
-    maker = _Layouts([t for t in text if "<" not in t and "&" not in t][:5000], [t for t in around if "<" not in t and "&" not in t][:2000])
+        x = vectors([found])
+        for k in range(0, len(found), WINDOW):
+            rows.append(x[k : k + WINDOW])
+            labels.append(own[k : k + WINDOW])
+        text += [leaf.text[:TEXT_CHARS] for leaf, y in zip(found, own) if y]
+        around += [leaf.text[:AROUND_CHARS] for leaf, y in zip(found, own) if not y]
+    maker = _Layouts([t for t in text if "<" not in t and "&" not in t], [t for t in around if "<" not in t and "&" not in t])
     for _ in range(layouts):
-        found = leaves(maker.page())[:MOST_BLOCKS]
+        found = leaves(maker.page())
         own = np.array([leaf.text.startswith(_TEXT) for leaf in found], np.float32)
         for leaf in found:
             leaf.text = leaf.text.replace(_TEXT, "").replace(_OTHER, "")
@@ -340,9 +346,10 @@ def fit(pages: list[str], layouts: int = LAYOUTS) -> Labeller:
 
 
 def train(pages: DataFrame, size: int = SAMPLE_PAGES) -> Labeller:
-    """Fitted on about ``size`` pages chosen by a hash of page_id."""
+    """Fitted on about ``size`` pages chosen by a hash of page_id, none of more than
+    ``SAMPLE_CHARS`` characters, each read whole."""
     spread = 1_000_000
-    rows = pages.where("html IS NOT NULL")
+    rows = pages.where(F.length("html") <= SAMPLE_CHARS)
     share = int(spread * min(1.0, size / max(1, rows.count())))
     chosen = rows.where(F.pmod(F.xxhash64("page_id", F.lit("html")), F.lit(spread)) < share)
     return fit([r[1] for r in sorted(chosen.select("page_id", "html").collect())])

@@ -26,6 +26,24 @@ def test_leaves_of_a_page():
     assert leaves("") == [] and leaves("plain")[0].text == "plain" and leaves("<p>a<table><tr><td>b<td>c</table>")[2].text == "c"
 
 
+def test_leaves_lose_no_text():
+    texts = lambda page: [leaf.text for leaf in leaves(page)]
+    assert texts("<p class=a title=it's>Hello don't stop</p><p>Second para it's fine</p>") == ["Hello don't stop", "Second para it's fine"]
+    assert texts("<p title=\"a>b\" data-x = 'c>d' '>One</p><p \"x>Two</p><p a=b=\"c>Three</p>") == ["One", "Two", "Three"]
+    assert texts("<p title='open>One</p><p>Two</p>") == ["One", "Two"]
+    assert texts("<p>Area <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></math> holds</p>") == ["Area x=2 holds"]
+    assert texts("<p>One <math><mi>y<p>Two</p><div>Three</div>") == ["One y", "Two", "Three"]
+    assert texts("<p>See <object data=a><param name=b>the plan</object> here<textarea>typed</textarea></p>") == ["See the plan here"]
+    assert texts("<p>a<math/>b</p><p>c</p>") == ["ab", "c"]
+
+
+def test_fitted_on_whole_pages(monkeypatch):
+    seen = []
+    monkeypatch.setattr(html.Labeller, "fit", lambda self, rows, labels: seen.extend(zip(map(len, rows), map(len, labels))))
+    html.fit(["<article>" + "<p>word and more</p>" * 1001 + "</article><nav><a href=#>x</a></nav>"], layouts=0)
+    assert seen == [(400, 400), (400, 400), (202, 202)]
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     labeller = html.train(pages)

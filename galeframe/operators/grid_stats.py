@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from galeframe.functions.field import clip, is_close
 from galeframe.operators.attach import attach
+from galeframe.operators.percentiles import percentiles
 from galeframe.session import checkpointed
 
 
@@ -23,13 +24,6 @@ def field_stats(cells: DataFrame, keys: Sequence[str], value: str = "value") ->
     )
 
 
-def quantiles(value: Column, probs: Sequence[float], approximate: bool = False) -> Column:
-    """Linear-interpolated percentiles; ``approximate`` bounds the memory per group."""
-    if approximate:
-        return F.percentile_approx(value, list(probs))
-    return F.percentile(value, F.lit(list(probs)))
-
-
 def value_range(
     cells: DataFrame,
     keys: Sequence[str],
@@ -38,12 +32,19 @@ def value_range(
     high: float = 0.95,
     approximate: bool = False,
 ) -> DataFrame:
-    """Colour range of a field: two percentiles, or min and max if they coincide."""
-    q = cells.groupBy(*keys).agg(
-        quantiles(F.col(value), [low, high], approximate).alias("_q"),
-        F.min(value).alias("_lo"),
-        F.max(value).alias("_hi"),
-    )
+    """Colour range of a field: two percentiles, or min and max if they coincide.
+
+    Exact percentiles lie between neighbours and hold for keys of any size;
+    ``approximate`` saves passes over large keys.
+    """
+    if approximate:
+        q = cells.groupBy(*keys).agg(
+            F.percentile_approx(value, [low, high]).alias("_q"),
+            F.min(value).alias("_lo"),
+            F.max(value).alias("_hi"),
+        )
+    else:
+        q = percentiles(cells, keys, F.col(value), [low, high])
     flat = is_close(F.col("_q")[0], F.col("_q")[1])
     return q.select(
         *keys,
@@ -60,7 +61,7 @@ DRY_LEVELS = (0.1, 0.2, 0.3, 0.5)
 def contour_levels(cells: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Sorted distinct contour levels, one row each (``level_no`` from 1)."""
     wet = F.when(F.col(value) > 0, F.col(value))
-    levels = cells.groupBy(*keys).agg(quantiles(wet, CONTOUR_QUANTILES).alias("_q"))
+    levels = percentiles(cells, keys, wet, CONTOUR_QUANTILES)
     rounded = F.array_sort(
         F.array_distinct(
             F.transform(

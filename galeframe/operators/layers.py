@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from galeframe.functions import classify, field, units
 from galeframe.operators.attach import attach, attach_counted
 from galeframe.operators.grid_stats import value_range
+from galeframe.operators.percentiles import percentiles
 from galeframe.operators.stencil import gaussian
 
 
@@ -98,8 +99,8 @@ def color_norm(cells: DataFrame, keys: Sequence[str], value: str = "value") -> D
 
 def shown_rain(cells: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Add ``shown``: rain scaled by its 99th percentile with a gamma."""
-    stats = cells.groupBy(*keys).agg(
-        F.percentile(value, F.lit(0.99)).alias("_p99"), F.max(value).alias("_top")
+    stats = percentiles(cells, keys, F.col(value), [0.99]).select(
+        *keys, F.col("_q")[0].alias("_p99"), F.col("_hi").alias("_top")
     )
     return attach_counted(cells, stats, keys).select(
         *cells.columns,

@@ -50,7 +50,7 @@ def test_query_matches_sql(spark, duck, name):
     assert comparable(got) == comparable(duck.sql(SQL[name]).to_arrow_table())
 
 
-@pytest.mark.parametrize("name", ["enrich_track", "merge_track", "time_interpolate", "cone_polygon", "storm_document", "advisory_movement", "series_payload"])
+@pytest.mark.parametrize("name", ["enrich_track", "merge_track", "time_interpolate", "cone_polygon", "storm_document", "advisory_movement", "series_payload", "value_range_p5_p95", "color_norm", "contour_levels", "rain_visual_scale"])
 def test_query_matches_sql_with_hot_keys(spark, duck, hot, name):
     assert comparable(QUERIES[name](spark, DATA).toArrow()) == comparable(duck.sql(SQL[name]).to_arrow_table())
 

@@ -1,6 +1,7 @@
 """Fitted models: held-out accuracy, and the cases every table may hold."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -127,6 +128,50 @@ def test_phrases_are_greedy_longest_matches():
     assert got[0, 0] == 2 and got[1, 1] == 2 and got[0, 1] == 4
 
 
+def words_of(text):
+    """Runs of letters, with the capitals of ASCII and Latin-1 made small."""
+    small = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or "\u00c0" <= c <= "\u00de" and c != "\u00d7" else c for c in text)
+    return re.findall(rb"[a-z\x80-\xff]+", small.encode())
+
+
+def parsed(text, known, longest):
+    """Phrases of a text, each the longest match anywhere in the words of ``known``."""
+    total = 0
+    for word in words_of(text):
+        for word in (word[k : k + longest] for k in range(0, len(word), longest)):
+            at = 0
+            while at < len(word):
+                size = 1
+                while at + size < len(word) and word[at : at + size + 1] in known:
+                    size += 1
+                at, total = at + size, total + 1
+    return total
+
+
+def test_language_is_the_one_of_fewest_phrases(spark, docs, texts):
+    samples = {}
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").where("text IS NOT NULL AND lang IS NOT NULL").orderBy("doc_id").collect()
+    for r in rows:
+        if len(of := samples.setdefault(r["lang"], [])) < 6:
+            of.append(r["text"])
+    model = langid.fit(samples, 1 << 30)
+    known = {k: b" ".join(sorted({w for t in v for w in words_of(t)})) for k, v in sorted(samples.items())}
+    weight = {k: np.log2(2 + len(b) + 1) for k, b in known.items()}
+    more = frame(spark, [(3 * k, r["text"], None) for k, r in enumerate(rows[-60:])])
+    for table, every in ((docs, texts), (more, [r["text"] for r in rows[-60:]])):
+        got = {r["doc_id"]: r for r in langid.predict(table, model).collect()}
+        for k, text in enumerate(every):
+            r = got[3 * k]
+            if not any(c.isalpha() for c in text or ""):
+                assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+                continue
+            if len(text) > 20_000:
+                continue
+            cost = sorted((parsed(text, b, langid.LONG_WORD) * weight[x], x) for x, b in known.items())
+            assert r["lang_pred"] == cost[0][1]
+            assert r["score"] == pytest.approx(1 - cost[0][0] / cost[1][0])
+
+
 def test_language(spark, docs, none, texts):
     tables = spark.read.parquet(f"{DATA}/documents.parquet")
     model = langid.train(tables)

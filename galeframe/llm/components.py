@@ -26,8 +26,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    tied = down.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return tied.union(least.select("u", F.col("m").alias("v"))).distinct()
+    # The edge to the smallest one ties the node itself.
+    return down.join(least, "u").select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _stars_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +83,8 @@ def components(edges: DataFrame) -> DataFrame:
     is written to the shared folder, and the rounds end when each component is one star.
     A node that is least of its component has no row.
     """
-    edges = kept(edges.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct(), "edges")
-    while not _settled(edges):
+    edges = edges.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"))
+    while True:
         edges = kept(_small_star(_large_star(_contracted(edges))), "edges")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        if _settled(edges):
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

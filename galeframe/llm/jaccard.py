@@ -484,7 +484,6 @@ def groups(docs: DataFrame) -> DataFrame:
     # Texts of one id belong together.
     owners = named.where("n_shingles > 0")
     several = owners.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("w")).where("u <> w").select("doc_id", "u")
-    several = kept(several, "several")
     if not several.isEmpty():
         found = _joined(found, owners.join(several, "doc_id").where("rep <> u").select("u", F.col("rep").alias("v")))
     sets = kept(_labelled(named.where("n_shingles > 0").groupBy("rep").agg(F.min("doc_id").alias("least")), found), "labels")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from galeframe.functions import classify, field, units
 from galeframe.operators.attach import attach, attach_counted
 from galeframe.operators.grid_stats import value_range
 from galeframe.operators.percentiles import percentiles
-from galeframe.operators.stencil import gaussian
+from galeframe.operators.stencil import TILE, Span, finite, gaussian, gaussian_weights, smoothed, tiled
 
 
 def layers_side_by_side(cells: DataFrame, cell: Sequence[str], names: dict[str, str]) -> DataFrame:
@@ -191,16 +192,24 @@ def rain_total(
     )
 
 
-def unsharp(cells: DataFrame, keys: Sequence[str], shape: tuple[int, int]) -> DataFrame:
-    """Light smoothing plus the positive part of what a wider smoothing removes."""
+def unsharp(cells: DataFrame, keys: Sequence[str], shape: tuple[int, int], tile: int = TILE) -> DataFrame:
+    """Light smoothing plus the positive part of what a wider smoothing removes.
+
+    Both smoothings of a tile are made in one pass, so the halo is that of the two.
+    """
     keys = list(keys)
-    cell = keys + ["lat_idx", "lon_idx"]
-    smooth = gaussian(cells, keys, 1.0, shape)
-    base = gaussian(smooth, keys, 2.6, shape).withColumnRenamed("value", "_base")
-    detail = F.greatest(F.col("value") - F.col("_base"), F.lit(0.0))
-    return attach(smooth, base, cell).select(
-        *cell, F.greatest(F.col("value") + detail * 0.45, F.lit(0.0)).alias("value")
-    )
+    light, wide = gaussian_weights(1.0), gaussian_weights(2.6)
+    reach = len(wide) // 2
+
+    def sharpened(grid: np.ndarray, rows: Span, cols: Span) -> np.ndarray:
+        middle = [s.widened(reach) for s in (rows, cols)]
+        smooth = smoothed(np.nan_to_num(grid), light, *middle)
+        base = smoothed(smooth, wide, *(s.within(m) for s, m in zip((rows, cols), middle)))
+        smooth = smooth[tuple(slice(s.start - m.start, s.end - m.start) for s, m in zip((rows, cols), middle))]
+        return np.maximum(smooth + 0.45 * np.maximum(smooth - base, 0.0), 0.0)
+
+    base = cells.select(*keys, "lat_idx", "lon_idx", finite("value").alias("value"))
+    return tiled(base, keys, shape, len(light) // 2 + reach, sharpened, tile)
 
 
 def nearest_hour(points: DataFrame, hours: Column, run: Column, time: str = "advisory_time") -> DataFrame:

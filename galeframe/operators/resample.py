@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.operators.stencil import by_frame, every_cell, finite, framed
+from galeframe.operators.stencil import TILE, Span, every_cell, finite, tiled
 
 
 def cubic_weight(distance: Column) -> Column:
@@ -56,9 +56,14 @@ def _stretch(cells: DataFrame, keys: list[str], axis: str, other: str, size: int
     )
 
 
-def _axis_weights(size: int, factor: int) -> tuple[np.ndarray, np.ndarray]:
+# Source cells on either side that the targets of a tile reach.
+REACH = 2
+
+
+def _axis_weights(span: Span, factor: int) -> tuple[np.ndarray, np.ndarray]:
     """Normalised weights of an axis, target by source, and which sources are in reach."""
-    gap = (np.arange(size * factor)[:, None] + 0.5) / factor - np.arange(size)[None, :] - 0.5
+    target, source = np.arange(span.start * factor, span.end * factor), np.arange(span.low, span.high)
+    gap = (target[:, None] + 0.5) / factor - source[None, :] - 0.5
     d = np.abs(gap)
     near = (1.5 * d - 2.5) * d * d + 1.0
     far = ((-0.5 * d + 2.5) * d - 4.0) * d + 2.0
@@ -66,31 +71,30 @@ def _axis_weights(size: int, factor: int) -> tuple[np.ndarray, np.ndarray]:
     return weights / weights.sum(axis=1, keepdims=True), (d < 2).astype(float)
 
 
-def _per_frame(cells: DataFrame, keys: list[str], shape: tuple[int, int], factor: int) -> DataFrame:
-    """Both axes of a frame at once; source and result have fixed sizes."""
-
-    (down, near_down), (across, near_across) = (_axis_weights(n, factor) for n in shape)
-
-    def denser(grid: np.ndarray) -> np.ndarray:
-        missing = np.isnan(grid)
-        dense = down @ np.where(missing, 0.0, grid) @ across.T
-        dense[near_down @ missing @ near_across.T > 0] = np.nan
-        return dense
-
-    return framed(cells, keys, shape, denser)
-
-
 def bicubic_upsample(
-    cells: DataFrame, keys: Sequence[str], shape: tuple[int, int], factor: int, strategy: str = "auto"
+    cells: DataFrame,
+    keys: Sequence[str],
+    shape: tuple[int, int],
+    factor: int,
+    strategy: str = "tile",
+    tile: int = TILE,
 ) -> DataFrame:
     """Dense frames of ``shape`` to frames ``factor`` times as tall and wide.
 
-    ``strategy`` as for the stencils; the size that counts is that of the result.
+    ``strategy`` as for the stencils; ``tile`` is the size of a tile of the result.
     """
     keys = list(keys)
     base = cells.select(*keys, "lat_idx", "lon_idx", finite("value").alias("value"))
-    if by_frame(strategy, shape[0] * shape[1] * factor * factor):
-        return _per_frame(base, keys, shape, factor)
+
+    def denser(grid: np.ndarray, rows: Span, cols: Span) -> np.ndarray:
+        (down, near_down), (across, near_across) = (_axis_weights(s, factor) for s in (rows, cols))
+        missing = np.isnan(grid)
+        dense = down @ np.where(missing, 0.0, grid) @ across.T
+        dense[near_down @ missing @ near_across.T > 0] = np.nan
+        return dense
+
+    if strategy == "tile":
+        return tiled(base, keys, shape, REACH, denser, max(1, tile // factor), factor)
     extra = every_cell(base, keys, (shape[0] * factor, shape[1]))
     tall = _stretch(base, keys, "lat_idx", "lon_idx", shape[0], factor, extra)
     wide = _stretch(tall, keys, "lon_idx", "lat_idx", shape[1], factor, every_cell(base, keys, (shape[0] * factor, shape[1] * factor)).limit(0))

@@ -1,11 +1,13 @@
 """Neighbourhood operators on grids.
 
-Scatter form: each cell sends its weighted value to the cells around it, with the
-border rule folded into the target index, and the targets add up. The sums combine
-map-side, so the shuffle carries about one row per cell, and no join and no
-whole-frame task is needed.  ``strategy="frame"`` is the second physical form: one
-numpy pass per frame of the given shape, with a single shuffle.  ``"auto"`` takes it
-for wide kernels on frames that are worth a Python call and surely fit into a task.
+Tiles: a frame is cut into square tiles, every cell goes to its own tile and to those
+whose border of ``halo`` cells it lies in, and one numpy pass makes a tile.  That is one
+shuffle, little more than a row per cell, and no task holds more than a tile, whatever
+the size of the frame.
+
+``strategy="scatter"`` is the form in built-in functions: each cell sends its weighted
+value to the cells around it, with the border rule folded into the target index, and the
+targets add up; the sums combine map-side.
 
 Both forms mean the same: a frame that has any cell has a result for every cell of its
 shape, and absent cells, nulls, NaN and infinities are all missing.
@@ -14,22 +16,17 @@ shape, and absent cells, nulls, NaN and infinities are all missing.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-# Cells of a frame between which "auto" works frame by frame (8 bytes per cell).
-FRAME_CELLS = (100_000, 8_000_000)
-
-
-def by_frame(strategy: str, cells: int) -> bool:
-    """Is a frame of this many cells handled as one array?"""
-    low, high = FRAME_CELLS
-    return strategy == "frame" or (strategy == "auto" and low <= cells <= high)
+# Rows and columns of a tile: half a megabyte of values.
+TILE = 256
 
 
 def finite(value: Column | str) -> Column:
@@ -87,14 +84,15 @@ def gaussian(
     keys: Sequence[str],
     sigma: float,
     shape: tuple[int, int],
-    strategy: str = "auto",
+    strategy: str = "tile",
+    tile: int = TILE,
 ) -> DataFrame:
     """Gaussian smoothing of frames; missing counts as 0, borders reflect."""
     keys = list(keys)
     base = cells.select(*keys, "lat_idx", "lon_idx", F.coalesce(finite("value"), F.lit(0.0)).alias("value"))
     weights = gaussian_weights(sigma)
-    if by_frame(strategy, shape[0] * shape[1]):
-        return _per_frame(base, keys, shape, lambda grid: _smooth(_smooth(np.nan_to_num(grid), weights, 0), weights, 1))
+    if strategy == "tile":
+        return tiled(base, keys, shape, len(weights) // 2, lambda grid, *spans: smoothed(np.nan_to_num(grid), weights, *spans), tile)
     extra = every_cell(base, keys, shape).withColumn("value", F.lit(0.0))
     rows = _pass(base, keys, "lat_idx", "lon_idx", shape[0], weights, extra)
     both = _pass(rows, keys, "lon_idx", "lat_idx", shape[1], weights, extra.limit(0))
@@ -102,13 +100,18 @@ def gaussian(
 
 
 def box_blur(
-    cells: DataFrame, keys: Sequence[str], shape: tuple[int, int], passes: int = 1, strategy: str = "scatter"
+    cells: DataFrame,
+    keys: Sequence[str],
+    shape: tuple[int, int],
+    passes: int = 1,
+    strategy: str = "scatter",
+    tile: int = TILE,
 ) -> DataFrame:
     """Mean of the 3x3 neighbourhood with repeated edges; a missing cell spreads."""
     keys = list(keys)
     out = cells.select(*keys, "lat_idx", "lon_idx", finite("value").alias("value"))
-    if strategy == "frame":
-        return _per_frame(out, keys, shape, lambda grid: _blur(grid, passes))
+    if strategy == "tile":
+        return tiled(out, keys, shape, passes, lambda grid, rows, cols: _blur(grid, rows, cols, passes), tile)
     extra = every_cell(out, keys, shape)
     for _ in range(passes):
         out = _blur_pass(out, keys, shape, extra)
@@ -138,44 +141,96 @@ def _blur_pass(cells: DataFrame, keys: list[str], shape: tuple[int, int], extra:
     )
 
 
-def _smooth(grid: np.ndarray, weights: list[float], axis: int) -> np.ndarray:
-    radius = len(weights) // 2
-    size = grid.shape[axis]
-    turn = np.arange(-radius, size + radius) % (2 * size)
-    source = np.where(turn < size, turn, 2 * size - 1 - turn)
-    wide = np.take(grid, source, axis=axis)
-    return sum(w * np.take(wide, np.arange(k, k + size), axis=axis) for k, w in enumerate(weights))
+@dataclass(frozen=True)
+class Span:
+    """What a tile has of an axis of ``size`` cells: it makes ``start`` to ``end`` (half
+    open) and sees ``low`` to ``high``."""
 
+    start: int
+    end: int
+    low: int
+    high: int
+    size: int
 
-def _blur(grid: np.ndarray, passes: int) -> np.ndarray:
-    for _ in range(passes):
-        wide = np.pad(grid, 1, mode="edge")
-        h, w = grid.shape
-        grid = sum(wide[y : y + h, x : x + w] for y in range(3) for x in range(3)) / 9.0
-    return grid
+    @classmethod
+    def of(cls, number: int, tile: int, halo: int, size: int) -> Span:
+        start, end = number * tile, min(size, (number + 1) * tile)
+        return cls(start, end, max(0, start - halo), min(size, end + halo), size)
 
+    def widened(self, by: int) -> Span:
+        """The span that makes ``by`` cells more on either side, of what this one sees."""
+        return Span(max(0, self.start - by), min(self.size, self.end + by), self.low, self.high, self.size)
 
-def _per_frame(cells: DataFrame, keys: list[str], shape: tuple[int, int], change) -> DataFrame:
-    """Run ``change`` on each frame as an array; a frame has rows x cols cells."""
+    def within(self, wider: Span) -> Span:
+        """This span where it sees no more than what ``wider`` makes."""
+        return Span(self.start, self.end, wider.start, wider.end, self.size)
 
-    return framed(cells, keys, shape, change)
 
+def smoothed(grid: np.ndarray, weights: list[float], rows: Span, cols: Span) -> np.ndarray:
+    return _smooth(_smooth(grid, weights, 0, rows), weights, 1, cols)
 
-def framed(cells: DataFrame, keys: list[str], shape: tuple[int, int], change) -> DataFrame:
-    """Every cell of ``change(frame)`` for each frame; missing cells are NaN in it."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = np.full(shape, np.nan)
-        grid[pdf["lat_idx"], pdf["lon_idx"]] = pdf["value"]
-        result = change(grid)
-        rows, cols = np.indices(result.shape)
-        head = {k: [pdf[k].iloc[0]] * result.size for k in keys}
-        return pd.DataFrame(
-            {**head, "lat_idx": rows.ravel().astype("int32"), "lon_idx": cols.ravel().astype("int32"), "value": result.ravel()}
-        )
+def _smooth(grid: np.ndarray, weights: list[float], axis: int, span: Span) -> np.ndarray:
+    radius = len(weights) // 2
+    turn = np.arange(span.start - radius, span.end + radius) % (2 * span.size)
+    source = np.where(turn < span.size, turn, 2 * span.size - 1 - turn) - span.low
+    wide = np.take(grid, source, axis=axis)
+    made = span.end - span.start
+    return sum(w * np.take(wide, np.arange(k, k + made), axis=axis) for k, w in enumerate(weights))
+
+
+def _blur(grid: np.ndarray, rows: Span, cols: Span, passes: int) -> np.ndarray:
+    """Edges repeat at the border of the frame; at other borders of the tile every pass
+    uses up a row or column of the halo."""
+    ends = [(int(s.low == 0), int(s.high == s.size)) for s in (rows, cols)]
+    for _ in range(passes):
+        wide = np.pad(grid, ends, mode="edge")
+        h, w = wide.shape[0] - 2, wide.shape[1] - 2
+        grid = sum(wide[y : y + h, x : x + w] for y in range(3) for x in range(3)) / 9.0
+    first = [s.start if s.low == 0 else 0 for s in (rows, cols)]
+    return grid[first[0] : first[0] + rows.end - rows.start, first[1] : first[1] + cols.end - cols.start]
+
 
+def tiled(
+    cells: DataFrame,
+    keys: list[str],
+    shape: tuple[int, int],
+    halo: int,
+    change: Callable[[np.ndarray, Span, Span], np.ndarray],
+    tile: int = TILE,
+    factor: int = 1,
+) -> DataFrame:
+    """Every cell of ``change`` of each tile of each frame; missing cells are NaN in it.
+
+    ``change`` gets what a tile sees of the frame and returns what the tile makes,
+    ``factor`` times as tall and wide as the tile.  Tiles are no smaller than the halo.
+    """
+    tile = max(int(tile), halo, 1)
+    number = [-(-n // tile) for n in shape]
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        rows, cols = (Span.of(key[len(keys) + k].as_py(), tile, halo, shape[k]) for k in (0, 1))
+        grid = np.full((rows.high - rows.low, cols.high - cols.low), np.nan)
+        y, x = (table.column(n).to_numpy() for n in ("lat_idx", "lon_idx"))
+        value = table.column("value").to_numpy()  # nulls are NaN
+        real = y >= 0
+        grid[y[real] - rows.low, x[real] - cols.low] = value[real]
+        made = change(grid, rows, cols)
+        y, x = np.indices(made.shape)
+        own = [pa.repeat(k, made.size) for k in key[: len(keys)]]
+        own += [pa.array((a.ravel() + s.start * factor).astype(np.int32)) for a, s in ((y, rows), (x, cols))]
+        return pa.Table.from_arrays([*own, pa.array(made.ravel(), from_pandas=True)], names=[*keys, "lat_idx", "lon_idx", "value"])
+
+    def numbers(axis: str, k: int) -> Column:
+        seen = [F.floor((F.col(axis) + d) / F.lit(tile)).cast("int") for d in (-halo, halo)]
+        return F.explode(F.sequence(F.greatest(F.lit(0), seen[0]), F.least(F.lit(number[k] - 1), seen[1])))
+
+    place = [F.col(c).cast("int").alias(c) for c in ("lat_idx", "lon_idx")]
+    sent = cells.select(*keys, *place, F.col("value").cast("double").alias("value"))
+    sent = sent.withColumn("_ty", numbers("lat_idx", 0)).withColumn("_tx", numbers("lon_idx", 1))
+    # One row more for every tile of a frame, so that tiles without cells are made too.
+    every = every_cell(cells, keys, (number[0], number[1])).withColumnsRenamed({"lat_idx": "_ty", "lon_idx": "_tx"})
+    every = every.withColumns({"lat_idx": F.lit(-1), "lon_idx": F.lit(-1)})
     own = [StructField(f.name, f.dataType) for f in cells.select(*keys).schema]
     cell = [StructField("lat_idx", IntegerType()), StructField("lon_idx", IntegerType()), StructField("value", DoubleType())]
-    # A single frame without key columns still needs a grouping column.
-    out = cells.groupBy(*(keys or [F.lit(0)])).applyInPandas(one, StructType([*own, *cell]))
-    return out.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+    return sent.unionByName(every).groupBy(*keys, "_ty", "_tx").applyInArrow(one, StructType([*own, *cell]))

@@ -12,7 +12,9 @@ from galeframe.operators import layers, resample, stencil
 from galeframe.operators.attach import attach
 from galeframe.plans import sqlkit as q
 from galeframe.plans.registry import query, r6, rounded
-from galeframe.plans.views import CELLS_SQL, COLS, ROWS, SHAPE, cells, long_cells, long_cells_sql, table
+from galeframe.plans.views import (
+    CELLS_SQL, COLS, ROWS, SHAPE, WIDE_SHAPE, WIDE_SQL, cells, long_cells, long_cells_sql, table, wide_cells,
+)
 from galeframe.session import scratch_dir
 from galeframe.sources import grids
 
@@ -596,12 +598,12 @@ def _(spark, sf):
 FACTOR = 3
 
 
-def stretch(source: str, out: str, axis: str, other: str, size: int) -> str:
+def stretch(source: str, out: str, axis: str, other: str, size: int, key: str = "fff") -> str:
     gap = f"((t.t+0.5e0)/{FACTOR}e0-s.{axis}-0.5e0)"
     return (
         f"{out}_t AS (SELECT CAST(i AS INT) AS t FROM range({size * FACTOR}) AS r(i)), "
-        f"{out}_w AS (SELECT s.fff, s.{other}, t.t AS {axis}, s.value, {q.cubic(gap)} AS w FROM {source} s, {out}_t t WHERE abs({gap})<2), "
-        f"{out} AS (SELECT fff, {other}, {axis}, CASE WHEN count(value)=count(*) THEN sum(value*w)/sum(w) END AS value FROM {out}_w GROUP BY ALL)"
+        f"{out}_w AS (SELECT s.{key}, s.{other}, t.t AS {axis}, s.value, {q.cubic(gap)} AS w FROM {source} s, {out}_t t WHERE abs({gap})<2), "
+        f"{out} AS (SELECT {key}, {other}, {axis}, CASE WHEN count(value)=count(*) THEN sum(value*w)/sum(w) END AS value FROM {out}_w GROUP BY ALL)"
     )
 
 
@@ -615,6 +617,42 @@ def _(spark, sf):
     return rounded(resample.bicubic_upsample(source, ["fff"], SHAPE, FACTOR), "value")
 
 
+# Frames of several tiles, as many as the table has runs and hours.
+WIDE_ID, WIDE_TILE = "run, fff, lat_idx, lon_idx", 32
+
+
+@query(
+    "gaussian_tiles",
+    f"WITH {WIDE_SQL}, {q.gauss('wide', 'g', q.gauss_weights(1.2), WIDE_SHAPE, 'run,fff')} SELECT {WIDE_ID}, ROUND(value,6) AS value FROM g",
+)
+def _(spark, sf):
+    return rounded(stencil.gaussian(wide_cells(spark, sf), ["run", "fff"], 1.2, WIDE_SHAPE, tile=WIDE_TILE), "value")
+
+
+@query(
+    "unsharp_tiles",
+    f"WITH {WIDE_SQL}, {q.gauss('wide', 'a', q.gauss_weights(1.0), WIDE_SHAPE, 'run,fff')}, "
+    f"{q.gauss('a', 'b', q.gauss_weights(2.6), WIDE_SHAPE, 'run,fff')} SELECT {WIDE_ID}, "
+    "ROUND(greatest(a.value+0.45e0*greatest(a.value-b.value,0e0),0e0),6) AS value FROM a JOIN b USING (run, fff, lat_idx, lon_idx)",
+)
+def _(spark, sf):
+    return rounded(layers.unsharp(wide_cells(spark, sf), ["run", "fff"], WIDE_SHAPE, WIDE_TILE), "value")
+
+
+@query(
+    "bicubic_tiles",
+    f"WITH {WIDE_SQL}, g AS (SELECT concat(run, '/', fff) AS frame, lat_idx, lon_idx, value FROM wide), "
+    f"{stretch('g', 'tall', 'lat_idx', 'lon_idx', WIDE_SHAPE[0], 'frame')}, "
+    f"{stretch('tall', 'across', 'lon_idx', 'lat_idx', WIDE_SHAPE[1], 'frame')} SELECT frame, lat_idx, lon_idx, ROUND(value,6) AS value FROM across",
+)
+def _(spark, sf):
+    """Cells without data count as 0 here; in the operator a missing cell spreads."""
+    data = wide_cells(spark, sf).select(F.concat_ws("/", "run", "fff").alias("frame"), "lat_idx", "lon_idx", "value")
+    none = stencil.every_cell(data, ["frame"], WIDE_SHAPE).withColumn("value", F.lit(0.0))
+    dense = data.unionByName(none).groupBy("frame", "lat_idx", "lon_idx").agg(F.sum("value").alias("value"))
+    return rounded(resample.bicubic_upsample(dense, ["frame"], WIDE_SHAPE, FACTOR, tile=FACTOR * WIDE_TILE), "value")
+
+
 @query(
     "upsample_stats",
     f"{W}, o AS (SELECT fff, count(*) AS original FROM cells WHERE lat_idx BETWEEN 20 AND 25 AND lon_idx BETWEEN 10 AND 15 GROUP BY 1) "

@@ -154,6 +154,31 @@ def long_cells_sql(variables: list[str], name: str = "long") -> str:
     return f"{name} AS ({' UNION ALL '.join(parts)})"
 
 
+# Frames by run and hour: a run is 15,000 order keys, so frames follow the table.
+WIDE_SHAPE = (130, 66)
+WIDE_KEYS = [
+    "CAST((l_orderkey-l_orderkey%15000)/15000 AS INT) AS run",
+    "CAST((l_linenumber-1)*3 AS INT) AS fff",
+    f"CAST(l_orderkey%{WIDE_SHAPE[0]} AS INT) AS lat_idx",
+    f"CAST(l_partkey%{WIDE_SHAPE[1]} AS INT) AS lon_idx",
+]
+_WIDE_SUMS = ["COUNT(*) AS n", "SUM(CAST(l_quantity AS BIGINT)) AS q"]
+WIDE_SQL = (
+    f"sums AS (SELECT {', '.join(WIDE_KEYS + _WIDE_SUMS)} FROM lineitem GROUP BY 1, 2, 3, 4), "
+    "places AS (SELECT run, fff, CAST(i AS INT) AS lat_idx, CAST(j AS INT) AS lon_idx "
+    f"FROM (SELECT DISTINCT run, fff FROM sums), range({WIDE_SHAPE[0]}) AS r(i), range({WIDE_SHAPE[1]}) AS c(j)), "
+    "wide AS (SELECT run, fff, lat_idx, lon_idx, coalesce(q/(n*1e0), 0e0) AS value "
+    "FROM places LEFT JOIN sums USING (run, fff, lat_idx, lon_idx))"
+)
+
+
+def wide_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that have data, of frames whose number grows with the table."""
+    read = table(spark, sf_dir, "lineitem").selectExpr(*WIDE_KEYS, "l_quantity")
+    sums = read.groupBy("run", "fff", "lat_idx", "lon_idx").agg(*[F.expr(e) for e in _WIDE_SUMS])
+    return sums.selectExpr("run", "fff", "lat_idx", "lon_idx", "q/(n*1e0) AS value")
+
+
 # --- index lines, runs and files --------------------------------------------------
 
 # Variables and levels that index lines name.

@@ -47,14 +47,14 @@ def gather_gauss(grid, sigma):
     return grid
 
 
-@pytest.mark.parametrize("strategy", ["scatter", "frame"])
+@pytest.mark.parametrize("strategy", ["scatter", "tile"])
 def test_box_blur(spark, strategy):
     grid = RNG.normal(size=(7, 5))
     got = array(stencil.box_blur(frame(spark, grid, fff=0), ["fff"], (7, 5), strategy=strategy), (7, 5))
     np.testing.assert_allclose(got, gather_blur(grid), atol=1e-12)
 
 
-@pytest.mark.parametrize("strategy", ["scatter", "frame"])
+@pytest.mark.parametrize("strategy", ["scatter", "tile"])
 def test_blur_spreads_missing_values(spark, strategy):
     grid = np.ones((6, 6))
     grid[2, 3] = np.nan
@@ -62,7 +62,7 @@ def test_blur_spreads_missing_values(spark, strategy):
     assert np.isnan(got).sum() == 9 and np.nanmax(got) == pytest.approx(1.0)
 
 
-@pytest.mark.parametrize("strategy", ["scatter", "frame"])
+@pytest.mark.parametrize("strategy", ["scatter", "tile"])
 @pytest.mark.parametrize("sigma", [1.0, 3.2])
 def test_gaussian(spark, strategy, sigma):
     grid = RNG.normal(size=(7, 5))
@@ -97,7 +97,7 @@ def stretch(grid, factor, axis):
     return np.stack(rows, axis=axis) if axis == 0 else np.stack(rows, axis=1)
 
 
-@pytest.mark.parametrize("strategy", ["scatter", "frame"])
+@pytest.mark.parametrize("strategy", ["scatter", "tile"])
 def test_bicubic(spark, strategy):
     grid = RNG.normal(size=(6, 7))
     got = array(resample.bicubic_upsample(frame(spark, grid, fff=0), ["fff"], (6, 7), 10, strategy), (60, 70))
@@ -108,15 +108,35 @@ def test_bicubic_strategies_agree_on_missing_cells(spark):
     grid = RNG.normal(size=(8, 8))
     grid[2, 5] = np.nan
     cells = frame(spark, grid, fff=0)
-    one, two = (array(resample.bicubic_upsample(cells, ["fff"], (8, 8), 3, s), (24, 24)) for s in ("scatter", "frame"))
+    one, two = (array(resample.bicubic_upsample(cells, ["fff"], (8, 8), 3, s), (24, 24)) for s in ("scatter", "tile"))
     assert 0 < np.isnan(one).sum() < 24 * 24
     np.testing.assert_allclose(one, two, atol=1e-12)
 
 
-def test_strategy_follows_the_frame_size():
-    assert not stencil.by_frame("auto", 2_145)
-    assert stencil.by_frame("auto", 721 * 1440)
-    assert not stencil.by_frame("auto", 100_000_000)
+@pytest.mark.parametrize("tile", [1, 6, 8, 23])
+def test_tiles_equal_the_whole_frame(spark, tile):
+    shape = (23, 17)
+    grid = RNG.normal(size=shape)
+    cells = frame(spark, grid, fff=0)
+    smooth = array(stencil.gaussian(cells, ["fff"], 1.2, shape, tile=tile), shape)
+    np.testing.assert_allclose(smooth, gather_gauss(grid, 1.2), atol=1e-12)
+    blurred = array(stencil.box_blur(cells, ["fff"], shape, 3, "tile", tile), shape)
+    np.testing.assert_allclose(blurred, gather_blur(gather_blur(gather_blur(grid))), atol=1e-12)
+    dense = array(resample.bicubic_upsample(cells, ["fff"], shape, 2, tile=2 * tile), (46, 34))
+    np.testing.assert_allclose(dense, stretch(stretch(grid, 2, 0), 2, 1), atol=1e-12)
+    smooth = gather_gauss(grid, 1.0)
+    sharp = np.maximum(smooth + 0.45 * np.maximum(smooth - gather_gauss(smooth, 2.6), 0), 0)
+    np.testing.assert_allclose(array(layers.unsharp(cells, ["fff"], shape, tile), shape), sharp, atol=1e-12)
+
+
+def test_tiles_without_cells_and_null_keys(spark):
+    """A single cell of a frame of 40 x 30, whose key is null, and no frame at all."""
+    one = spark.createDataFrame([(None, 3, 4, 2.0)], "fff int, lat_idx int, lon_idx int, value double")
+    rows = stencil.gaussian(one, ["fff"], 1.2, (40, 30), tile=8).collect()
+    assert len(rows) == len({(r["lat_idx"], r["lon_idx"]) for r in rows}) == 1200
+    assert {r["fff"] for r in rows} == {None} and sum(r["value"] for r in rows) == pytest.approx(2.0)
+    assert stencil.gaussian(one.limit(0), ["fff"], 1.2, (40, 30), tile=8).count() == 0
+    assert stencil.gaussian(one, [], 1.2, (9, 9), tile=8).count() == 81
 
 
 def test_upsample_stats(spark):

@@ -31,14 +31,15 @@ def sparse(spark):
 @pytest.mark.parametrize(
     "change",
     [
-        lambda df, s: stencil.gaussian(df, ["k"], 1.2, SHAPE, s),
-        lambda df, s: stencil.box_blur(df, ["k"], SHAPE, 2, s),
-        lambda df, s: resample.bicubic_upsample(df, ["k"], SHAPE, 1, s),
-        lambda df, s: resample.bicubic_upsample(df, ["k"], SHAPE, 3, s),
+        lambda df, s, **t: stencil.gaussian(df, ["k"], 1.2, SHAPE, s, **t),
+        lambda df, s, **t: stencil.box_blur(df, ["k"], SHAPE, 2, s, **t),
+        lambda df, s, **t: resample.bicubic_upsample(df, ["k"], SHAPE, 1, s, **t),
+        lambda df, s, **t: resample.bicubic_upsample(df, ["k"], SHAPE, 3, s, **t),
     ],
 )
-def test_both_forms_agree_on_sparse_frames(sparse, change):
-    one, two = ({tuple(r[:3]): r[3] for r in change(sparse, s).collect()} for s in ("scatter", "frame"))
+@pytest.mark.parametrize("tile", [2, 5, 256])
+def test_both_forms_agree_on_sparse_frames(sparse, change, tile):
+    one, two = ({tuple(r[:3]): r[3] for r in out.collect()} for out in (change(sparse, "scatter"), change(sparse, "tile", tile=tile)))
     assert set(one) == set(two) and len(one) % (2 * SHAPE[0] * SHAPE[1]) == 0
     for cell, value in one.items():
         assert (value is None) == (two[cell] is None)

@@ -343,6 +343,22 @@ def _(spark, sf):
     return rounded(back.select(*CELL, "product", "value"), "value")
 
 
+@query(
+    "scan_area",
+    f"WITH {WIDE_SQL}, placed AS (SELECT *, 24-lat_idx/8e0 AS lat, 102+lon_idx/8e0 AS lon FROM wide) "
+    "SELECT run, fff, lat_idx, lon_idx, lat, lon, ROUND(value,6) AS value FROM placed "
+    "WHERE value>0 AND lat BETWEEN 15 AND 17 AND lon BETWEEN 104 AND 105.5",
+)
+def _(spark, sf):
+    """Cells written by area as two map types, then an area read back of both."""
+    placed = wide_cells(spark, sf).where("value > 0").selectExpr("*", "24-lat_idx/8e0 AS lat", "102+lon_idx/8e0 AS lon")
+    kind = F.when(F.col("fff") < 9, "rain_basic").otherwise("temperature_feels_like")
+    path = scratch_dir(spark, "area")
+    grids.write_cells_by_area(placed.withColumns({"map_type": kind, "product": F.lit("surface")}), path, file_cells=8192)
+    back = grids.read_area(spark, path, (15.0, 17.0), (104.0, 105.5))
+    return rounded(back.select("run", "fff", "lat_idx", "lon_idx", "lat", "lon", "value"), "value")
+
+
 # --- aggregates ---------------------------------------------------------------------
 
 STAT_VARS = ["value", "prate", "u"]

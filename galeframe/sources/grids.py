@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.operators.grid_select import stride_downsample
+from galeframe.operators.grid_select import bbox_filter, stride_downsample
 from galeframe.sources import rejects
 
 GRID_JSON = "lat array<double>, lon array<double>, data array<array<double>>"
@@ -59,6 +59,53 @@ def write_cells(cells: DataFrame, path: str) -> None:
     )
 
 
+# Bits of a curve position for each of latitude and longitude (steps of 0.003 and 0.006 degrees).
+CURVE_BITS = 16
+# Cells of a file that is laid out by area.
+FILE_CELLS = 1 << 20
+
+
+def curve_position(lat: Column, lon: Column) -> Column:
+    """Place of a point on a curve that keeps near points together: the bits of its
+    latitude and longitude in turn.  Null where either is null; longitudes may be given
+    as -180 to 180 or 0 to 360, which are the same places."""
+    steps = 1 << CURVE_BITS
+    north = F.floor((lat + 90.0) / 180.0 * steps)
+    east = F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * steps)
+    sides = [F.greatest(F.lit(0), F.least(F.lit(steps - 1), side)).cast("long") for side in (north, east)]
+    place = F.when(lat.isNull() | lon.isNull(), None).otherwise(F.lit(0).cast("long"))
+    for k in range(CURVE_BITS):
+        for at, side in ((2 * k + 1, sides[0]), (2 * k, sides[1])):
+            place = place.bitwiseOR(F.shiftleft(F.shiftright(side, k).bitwiseAND(F.lit(1).cast("long")), at))
+    return place
+
+
+def write_cells_by_area(cells: DataFrame, path: str, file_cells: int = FILE_CELLS, group_bytes: int = 4 << 20) -> None:
+    """Cells table laid out so that a read of an area skips files and row groups.
+
+    Within a map type and product, cells follow a curve over latitude and longitude, so
+    each file and each row group covers a small rectangle, which its statistics show.
+    Places with very many frames are cut by frame and cell.  The cells are counted while
+    the table is written; equal cells and cells without a place are kept.  Of a table
+    that is there already, the map types and products written are replaced.
+    """
+    files = max(1, -(-cells.count() // file_cells))
+    keys = [F.col("map_type"), F.col("product"), curve_position(F.col("lat"), F.col("lon")), F.col("fff"), F.col("lat_idx"), F.col("lon_idx")]
+    laid = cells.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
+    writer = laid.write.mode("overwrite").option("parquet.block.size", group_bytes).option("maxRecordsPerFile", file_cells)
+    writer.partitionBy("map_type", "product").parquet(path)
+
+
+def read_area(
+    spark: SparkSession, path: str, lat: tuple[float, float], lon: tuple[float, float], map_type: str | None = None
+) -> DataFrame:
+    """Cells of an area, both ends included.  Both ranges and the map type reach the scan."""
+    cells = spark.read.parquet(path)
+    if map_type is not None:
+        cells = cells.filter(F.col("map_type") == map_type)
+    return bbox_filter(cells, lat, lon)
+
+
 def read_grid_json(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
     """``{lat, lon, data}`` documents as cells."""
     reader = spark.read.schema(GRID_JSON).option("multiLine", not one_per_line)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -12,7 +12,7 @@ from galeframe.functions import classify, field, units
 from galeframe.operators.attach import attach, attach_counted
 from galeframe.operators.grid_stats import value_range
 from galeframe.operators.percentiles import percentiles
-from galeframe.operators.stencil import TILE, Span, finite, gaussian, gaussian_weights, smoothed, tiled
+from galeframe.operators.stencil import TILE, Span, finite, gaussian_weights, smoothed, tiled
 
 
 def layers_side_by_side(cells: DataFrame, cell: Sequence[str], names: dict[str, str]) -> DataFrame:
@@ -148,12 +148,8 @@ def cloud_rain_proxy(
         .groupBy(*cell)
         .agg(F.avg(F.when(F.col(value).isNotNull(), field.clip(percent, 0.0, 1.0))).alias("value"))
     )
-    cloud = gaussian(mean, series, 1.2, shape)
-    wide = gaussian(cloud, series, 3.2, shape).withColumnRenamed("value", "_wide")
-    core = F.greatest(F.col("value") - F.col("_wide"), F.lit(0.0))
-    return attach(cloud, wide, cell).select(
-        *cell, (field.clip(F.col("value") * 0.55 + core * 1.35, 0.0, 1.0) * 35.0).alias("total")
-    )
+    rain = lambda cloud, wide: np.clip(cloud * 0.55 + np.maximum(cloud - wide, 0.0) * 1.35, 0.0, 1.0) * 35.0
+    return _twice_smoothed(mean, series, shape, (1.2, 3.2), rain).withColumnRenamed("value", "total")
 
 
 def rain_source(frames: DataFrame, series: Sequence[str]) -> DataFrame:
@@ -192,24 +188,36 @@ def rain_total(
     )
 
 
-def unsharp(cells: DataFrame, keys: Sequence[str], shape: tuple[int, int], tile: int = TILE) -> DataFrame:
-    """Light smoothing plus the positive part of what a wider smoothing removes.
+def _twice_smoothed(
+    cells: DataFrame,
+    keys: list[str],
+    shape: tuple[int, int],
+    sigmas: tuple[float, float],
+    combine: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    tile: int = TILE,
+) -> DataFrame:
+    """``combine`` of a smoothed field and of that smoothed once more; missing counts as 0.
 
     Both smoothings of a tile are made in one pass, so the halo is that of the two.
     """
-    keys = list(keys)
-    light, wide = gaussian_weights(1.0), gaussian_weights(2.6)
+    light, wide = map(gaussian_weights, sigmas)
     reach = len(wide) // 2
 
-    def sharpened(grid: np.ndarray, rows: Span, cols: Span) -> np.ndarray:
+    def change(grid: np.ndarray, rows: Span, cols: Span) -> np.ndarray:
         middle = [s.widened(reach) for s in (rows, cols)]
         smooth = smoothed(np.nan_to_num(grid), light, *middle)
         base = smoothed(smooth, wide, *(s.within(m) for s, m in zip((rows, cols), middle)))
-        smooth = smooth[tuple(slice(s.start - m.start, s.end - m.start) for s, m in zip((rows, cols), middle))]
-        return np.maximum(smooth + 0.45 * np.maximum(smooth - base, 0.0), 0.0)
+        own = tuple(slice(s.start - m.start, s.end - m.start) for s, m in zip((rows, cols), middle))
+        return combine(smooth[own], base)
 
     base = cells.select(*keys, "lat_idx", "lon_idx", finite("value").alias("value"))
-    return tiled(base, keys, shape, len(light) // 2 + reach, sharpened, tile)
+    return tiled(base, keys, shape, len(light) // 2 + reach, change, tile)
+
+
+def unsharp(cells: DataFrame, keys: Sequence[str], shape: tuple[int, int], tile: int = TILE) -> DataFrame:
+    """Light smoothing plus the positive part of what a wider smoothing removes."""
+    sharp = lambda smooth, base: np.maximum(smooth + 0.45 * np.maximum(smooth - base, 0.0), 0.0)
+    return _twice_smoothed(cells, list(keys), shape, (1.0, 2.6), sharp, tile)
 
 
 def nearest_hour(points: DataFrame, hours: Column, run: Column, time: str = "advisory_time") -> DataFrame:

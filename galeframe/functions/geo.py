@@ -23,6 +23,12 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2 * EARTH_RADIUS_KM) * F.atan2(F.sqrt(chord), F.sqrt(1 - chord))
 
 
+def whole_turn(angle: Column) -> Column:
+    """Angle to [0, 360).  Both remainders are needed: one alone leaves 359.99999999999994
+    where a course is north but for the last bit, and that is no other course than 0."""
+    return (angle % F.lit(360.0) + F.lit(360.0)) % F.lit(360.0)
+
+
 def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Initial course from the first point to the second, 0 <= course < 360."""
     turn = F.radians(lon2 - lon1)
@@ -30,7 +36,7 @@ def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     north = F.cos(F.radians(lat1)) * F.sin(F.radians(lat2)) - F.sin(
         F.radians(lat1)
     ) * F.cos(F.radians(lat2)) * F.cos(turn)
-    return F.pmod(F.degrees(F.atan2(east, north)) + 360, F.lit(360.0))
+    return whole_turn(F.degrees(F.atan2(east, north)) + 360)
 
 
 def compass16(course: Column) -> Column:
@@ -53,9 +59,9 @@ def destination_lon(lat: Column, lon: Column, course: Column, km: Column) -> Col
     east = F.sin(F.radians(course)) * F.sin(arc) * F.cos(F.radians(lat))
     north = F.cos(arc) - F.sin(F.radians(lat)) * F.sin(end_lat)
     turned = F.degrees(F.radians(lon) + F.atan2(east, north))
-    return F.pmod(turned + 540, F.lit(360.0)) - 180
+    return whole_turn(turned + 540) - 180
 
 
 def wrap_longitude(lon: Column) -> Column:
     """Longitude to [-180, 180)."""
-    return F.pmod(lon + 180, F.lit(360.0)) - 180
+    return whole_turn(lon + 180) - 180

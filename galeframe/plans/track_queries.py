@@ -57,7 +57,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return track(spark, sf).select(
-        "seq", geo.compass16(F.pmod(F.col("lon"), F.lit(360.0))).alias("direction")
+        "seq", geo.compass16(geo.whole_turn(F.col("lon"))).alias("direction")
     )
 
 

@@ -67,6 +67,14 @@ def test_distance_bearing_and_destination_agree(spark):
     assert one(spark, geo.bearing_deg(*at, *there)) == pytest.approx(75.0, abs=1e-9)
 
 
+def test_course_over_the_pole_is_north(spark):
+    """Due north but for the last bit, where the longitudes lie half a turn apart."""
+    spot = lambda n: (F.lit(((n * 37) % 12000) / 1e2 - 60), F.lit(((n * 91) % 36000) / 1e2 - 180))
+    pairs = [(12965, 30965), (20710, 2710), (935, 18935), (14195, 32195), (13237, 31237)]
+    assert [one(spark, geo.bearing_deg(*spot(a), *spot(b))) for a, b in pairs] == [0.0] * 5
+    assert one(spark, geo.wrap_longitude(F.lit(179.99999999999997))) == -180.0
+
+
 def test_units(spark):
     assert one(spark, units.kelvin_to_celsius(F.lit(300.0))) == 26.9
     assert one(spark, units.knots_to_kmh(F.lit(65.0))) == 120.4

@@ -1,7 +1,7 @@
 """Language identification by cross-parsing against suffix automata.
 
-For each language an automaton accepts every substring of the words in a sample of its
-labelled texts.  A word is parsed greedily into the longest substrings the automaton
+For each language an automaton accepts every substring of the most frequent words of all
+its labelled texts, up to a size; the words are counted by Spark.  A word is parsed greedily into the longest substrings the automaton
 accepts; the fewer phrases, the closer the language.  Phrases times the logarithm of the
 sample's size, over the letters parsed, estimates the cross entropy, and the language
 with the least wins.  Phrases end with their word, so each distinct word of a block is
@@ -16,15 +16,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galeframe.llm.support import extended, mapped, utf8
-from galeframe.llm.words import distinct, doc_blocks, letter_words, lowered
+from galeframe.llm.support import extended, mapped, tasks, utf8
+from galeframe.llm.words import distinct, doc_blocks, letter_words, lowered, ragged
 
-# Bounds of the labelled sample: texts drawn per language (expected number) and bytes of
-# distinct words that enter an automaton.
-SAMPLE_TEXTS = 150
+# Size of an automaton: bytes of the most frequent distinct words of a language.
 SAMPLE_BYTES = 40_000
 # Longer words are parsed in pieces of this many bytes.
 LONG_WORD = 64
@@ -123,6 +121,11 @@ def fit(samples: dict[str, list[str]], sample_bytes: int = SAMPLE_BYTES) -> Mode
             chosen.append(word)
             size += len(word)
         words[language] = chosen
+    return _model(words)
+
+
+def _model(words: dict[str, list[bytes]]) -> Model:
+    """The automata of chosen words by language."""
     used = sorted({b for chosen in words.values() for word in chosen for b in word})
     symbol = np.zeros(256, np.int64)
     symbol[used] = np.arange(len(used)) + 1
@@ -144,17 +147,47 @@ def fit(samples: dict[str, list[str]], sample_bytes: int = SAMPLE_BYTES) -> Mode
     return Model(list(words), symbol, move, np.array(roots, np.int64), np.array(weights))
 
 
-def sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> dict[str, list[str]]:
-    """About ``texts`` texts of each language, chosen by a hash of doc_id."""
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # a row per language
-    spread = 1_000_000
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(spread * min(1.0, texts / n))))]) if counts else None
-    if share is None:
-        return {}
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(spread)) < share[F.col("lang")])
-    out: dict[str, list[str]] = {}
-    for row in chosen.select("lang", "text").collect():
-        out.setdefault(row[0], []).append(row[1])
+def _counted(batch: pa.RecordBatch) -> dict | None:
+    """(lang, word, n) of the words of a batch, counted by blocks of it."""
+    names = batch.column(0).dictionary_encode()
+    code = names.indices.to_numpy().astype(np.int64)
+    text, offsets = utf8(batch.column(1))
+    langs, words, counts = [], [], []
+    for a, b in doc_blocks(offsets):
+        block = lowered(text[offsets[a] : offsets[b]])
+        heads = offsets[a:b] - offsets[a]
+        begin, end = letter_words(block, heads[heads < len(block)])
+        if not len(begin):
+            continue
+        owner = np.searchsorted(heads, begin, "right") - 1
+        one, kind = distinct(block, begin, end)
+        pair, n = np.unique(code[a + owner] * len(one) + kind, return_counts=True)
+        word, size = one[pair % len(one)], (end - begin)[one[pair % len(one)]]
+        ends = np.append(0, np.cumsum(size)).astype(np.int32)
+        data = np.ascontiguousarray(block[ragged(begin[word], size)])
+        words.append(pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(ends), pa.py_buffer(data)]))
+        langs.append(names.dictionary.take(pa.array(pair // len(one))))
+        counts.append(pa.array(n.astype(np.int64)))
+    if not words:
+        return None
+    return {"lang": pa.concat_arrays(langs), "word": pa.concat_arrays(words), "n": pa.concat_arrays(counts)}
+
+
+def frequent_words(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> dict[str, list[bytes]]:
+    """The most frequent words of all texts of each language, ``sample_bytes`` of them.
+
+    Ranks are taken in shares of the words first, so no task sees all words of a language;
+    the driver gets at most ``sample_bytes`` a language.
+    """
+    found = mapped(labelled.select("lang", "text"), _counted, "lang string, word binary, n long")
+    found = found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    found = found.withColumn("_share", F.pmod(F.xxhash64("word"), F.lit(tasks(labelled.sparkSession))))
+    for keys in (["lang", "_share"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, 0)
+        found = found.withColumn("_size", F.sum(F.length("word")).over(order)).where(F.col("_size") <= sample_bytes)
+    out: dict[str, list[bytes]] = {}
+    for row in sorted(found.select("lang", "n", "word").collect(), key=lambda r: (r["lang"], -r["n"], bytes(r["word"]))):
+        out.setdefault(row["lang"], []).append(bytes(row["word"]))
     return out
 
 
@@ -163,9 +196,9 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame) -> Model:
-    """Fitted on documents with a language that are not held out; bounds as above."""
+    """Fitted on all documents with a language that are not held out."""
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return fit(sample(known.select("doc_id", "lang", "text")))
+    return _model(frequent_words(known))
 
 
 _LETTER = regex.compile(r"\p{L}")

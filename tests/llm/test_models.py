@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from galeframe.llm import ann, html, langid, toxicity
 from galeframe.llm.blocks import leaves
@@ -271,3 +272,19 @@ def test_neighbours(spark, monkeypatch):
     few = spark.createDataFrame([(20 * k, [1.0, float(k)]) for k in range(5)], "vec_id long, embedding array<float>")
     assert ann.search(few, few, k=20).count() == 20
     assert ann.search(few.limit(0), few, k=20).count() == 0
+
+
+def test_models_learn_from_every_labelled_text(spark):
+    """No text is left out, whatever its id, and groups are alike in balance."""
+    docs = spark.range(900).selectExpr("id AS doc_id", "concat('alpha beta word', CAST(id AS STRING), 'x') AS text", "IF(id % 2 = 0, 'a', 'b') AS lang")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 9 = 0 AS INT) AS toxic", "1 AS quality")
+    rows, groups = toxicity.dealt(docs, labels, 100)
+    got = rows.groupBy("_group").agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") == 0)).collect()
+    assert groups == 8 and len(got) == 8
+    assert rows.select("doc_id").distinct().count() == 900
+    assert all(r[1] == 100 and 60 < r[2] < 150 for r in got)
+    assert {len(m.earlier) for m in toxicity.train(docs, labels, 100).links} == {0, 1, 2}
+    lone = spark.range(2000).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'aaa bbb', 'ccc') AS text", "IF(id % 2 = 0, 'a', 'b') AS lang")
+    assert langid.frequent_words(lone) == {"a": [b"aaa", b"bbb"], "b": [b"ccc"]}
+    assert langid.frequent_words(docs) == dict.fromkeys("ab", [b"alpha", b"beta", b"word", b"x"])
+    assert langid.frequent_words(docs, 12) == dict.fromkeys("ab", [b"alpha", b"beta"])

@@ -8,6 +8,8 @@ both dialects are shared as text.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -316,12 +318,21 @@ def joined(order: str, text: str):
     return F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["t"]), "")
 
 
+def texts_of(groups, columns: list[str], text: str, name: str) -> DataFrame:
+    """Texts of a small, fixed-size group put together in the order of the first column.
+
+    Only ``columns`` travel; the text is made from them after the shuffle.
+    """
+    item = re.sub(rf"\b({'|'.join(columns)})\b", r"e.\1", text)
+    rows = groups.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_rows"))
+    return rows.withColumn(name, F.expr(f"array_join(transform(_rows, e -> {item}), '')")).drop("_rows")
+
+
 def bulletins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """XML reports of six events each."""
     events = table(spark, sf_dir, "events")
-    bodies = events.groupBy(F.floor(F.col("event_id") / 6).cast("long").alias("bulletin")).agg(
-        joined("event_id", INFO).alias("body")
-    )
+    groups = events.groupBy(F.floor(F.col("event_id") / 6).cast("long").alias("bulletin"))
+    bodies = texts_of(groups, ["event_id", "user_id", "ts"], INFO, "body")
     return bodies.select(
         "bulletin",
         F.concat(

@@ -62,17 +62,24 @@ def bulletins(documents: DataFrame, xml: str = "xml", metrics: Observation | Non
         parsed = parsed.observe(metrics, F.count(F.lit(1)).alias("documents"), F.count("_reason").alias("rejected_documents"))
     good = parsed.where("_reason IS NULL")
     points = markup.bulletin_points(good.select(*keys, "_d.Head", "_d.Body"))
+
+    def entry(i: Column, seq: Column) -> Column:
+        time, place = text.blank_to_null(i["DateTime"]), text.blank_to_null(F.get(i["Item"], F.lit(0))["CenterPart"]["Coordinate"])
+        unplaced = text.signed_pair_lat(place).isNull() | text.signed_pair_lon(place).isNull()
+        reason = (
+            F.when(time.isNull(), "no time").when(F.try_to_timestamp(time).isNull(), "time")
+            .when(place.isNull(), "no coordinate").when(unplaced, "coordinate")
+        )
+        value = F.when(reason == "time", time).when(reason == "coordinate", place)
+        return F.struct(seq.cast("int").alias("seq"), reason.alias("reason"), value.alias("value"))
+
     none = F.lit(None)
-    whole = parsed.where("_reason IS NOT NULL").select(*keys, none.cast("int").alias("seq"), F.col("_reason").alias("reason"), none.cast("string").alias("value"))
-    entries = good.select(*keys, F.posexplode("_d.Body.MeteorologicalInfo").alias("seq", "i"))
-    time, place = text.blank_to_null(F.col("i.DateTime")), text.blank_to_null(F.get(F.col("i.Item"), F.lit(0))["CenterPart"]["Coordinate"])
-    unplaced = text.signed_pair_lat(place).isNull() | text.signed_pair_lon(place).isNull()
-    reason = (
-        F.when(time.isNull(), "no time").when(F.try_to_timestamp(time).isNull(), "time")
-        .when(place.isNull(), "no coordinate").when(unplaced, "coordinate")
-    )
-    parts = entries.select(*keys, "seq", reason.alias("reason"), F.when(reason == "time", time).when(reason == "coordinate", place).alias("value"))
-    return Checked(points, whole.unionByName(parts.where("reason IS NOT NULL")))
+    whole = F.array(F.struct(none.cast("int").alias("seq"), F.col("_reason").alias("reason"), none.cast("string").alias("value")))
+    entries = F.filter(F.transform("_d.Body.MeteorologicalInfo", entry), lambda r: r["reason"].isNotNull())
+    # Documents and entries in one pass, and an outer explode with the condition after it:
+    # others are pushed below the parser and make it run again.
+    rejected = parsed.select(*keys, F.explode_outer(F.when(F.col("_reason").isNotNull(), whole).otherwise(entries)).alias("_r"))
+    return Checked(points, rejected.where("_r.reason IS NOT NULL").select(*keys, "_r.seq", "_r.reason", "_r.value"))
 
 
 def read_bulletins(spark: SparkSession, path: str, metrics: Observation | None = None) -> Checked:

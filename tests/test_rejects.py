@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from galeframe import sinks, versions
 from galeframe.functions import text
+from galeframe.plans import views
 from galeframe.session import scratch_dir
 from galeframe.sources import documents, grids, markup, rejects
 from galeframe.streaming import tracks as live
@@ -184,3 +185,10 @@ def test_storm_documents_by_bucket(spark):
     sinks.replace_storm_docs(sinks.storm_documents(enrich_track(bulletin(spark, 2).withColumn("storm_id", F.lit("other")))), path)
     back = documents.storm_doc_points(sinks.read_documents(spark, path, documents.STORM_DOC_KEYED))
     assert sorted((r["storm_id"], r["pos"]) for r in back.collect()) == [(s, k) for s in ("other", "s1") for k in range(3)]
+
+
+def test_rejects_of_bulletins_parse_once(spark):
+    """One parser in the plan, whatever a document is rejected for."""
+    made = views.bulletins(spark, "/root/testdata/sf0.001").selectExpr("bulletin", "xml")
+    plan = rejects.bulletins(made).rejects._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_xml") == 1

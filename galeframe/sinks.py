@@ -11,8 +11,11 @@ from pyspark.sql.types import StructType
 from galeframe import versions
 from galeframe.functions import times, units
 from galeframe.operators.ordered import in_parts
+from galeframe.session import checkpointed
 
 PART_ROWS = 10_000
+# Files of a summary that one task puts together and sorts.
+TASK_FILES = 200_000
 
 
 def grid_documents(cells: DataFrame, frame: Sequence[str]) -> DataFrame:
@@ -48,13 +51,19 @@ def summary_documents(entries: DataFrame, summary: DataFrame, part_rows: int = P
     """Folder summaries with their file lists, about ``part_rows`` files to a document.
 
     Files are dealt over the documents of a map by a hash of their name, so however many
-    share a map and an hour, they never meet in one task.
+    share a map and an hour, they never meet in one task.  The number of tasks follows the
+    number of files, so that what a task holds does not grow with it.
     """
+    # A row per map; a join by map would put all files of a map into one task.
+    kept = checkpointed(summary)
+    summary = F.broadcast(kept)
+    count = kept.agg(F.sum("file_count")).first()[0] or 0
+    tasks = max(-(-count // TASK_FILES), int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = F.ceil(F.col("file_count") / F.lit(part_rows))
     placed = entries.join(summary.select("map_type", "file_count"), "map_type").withColumn(
         "part", F.pmod(F.xxhash64("file"), F.greatest(F.lit(1), parts)).cast("int")
     )
-    listed = placed.groupBy("map_type", "part").agg(
+    listed = placed.repartition(tasks, "map_type", "part").groupBy("map_type", "part").agg(
         F.array_sort(F.collect_list(F.struct("file", "size_bytes", "fff"))).alias("files")
     )
     return listed.join(summary, "map_type")

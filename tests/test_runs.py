@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from galeframe import sinks
 from galeframe.operators import availability as av
 from galeframe.operators import files
 from galeframe.sources import listings
@@ -117,3 +118,11 @@ def test_listing_files(spark, tmp_path):
     assert {(r["file"], r["kind"], r["adv"], r["size_bytes"]) for r in out} == {
         ("ep012026_005adv_TRACK.kmz", "track", 5, 3), ("ep012026_5day_005.zip", "five_day", 5, 3), ("readme.txt", "other", -1, 3),
     }
+
+
+def test_tasks_of_a_summary_follow_its_files(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr("CONCAT('m', id % 2) AS map_type", "CONCAT('gfs.f003.', id, '.grib2') AS file", "id AS size_bytes")
+    monkeypatch.setattr(sinks, "TASK_FILES", 100)
+    docs = sinks.summary_documents(files.file_entries(rows), files.file_summary(rows), 50)
+    assert docs.rdd.getNumPartitions() == 40
+    assert docs.selectExpr("SUM(SIZE(files))").first()[0] == 4000

@@ -78,15 +78,19 @@ def bicubic_upsample(
     factor: int,
     strategy: str = "tile",
     tile: int = TILE,
+    default: float | None = None,
 ) -> DataFrame:
     """Dense frames of ``shape`` to frames ``factor`` times as tall and wide.
 
-    ``strategy`` as for the stencils; ``tile`` is the size of a tile of the result.
+    ``strategy`` as for the stencils; ``tile`` is the size of a tile of the result.  A
+    missing cell spreads, or counts as ``default`` where one is given.
     """
     keys = list(keys)
     base = cells.select(*keys, "lat_idx", "lon_idx", finite("value").alias("value"))
 
     def denser(grid: np.ndarray, rows: Span, cols: Span) -> np.ndarray:
+        if default is not None:
+            grid = np.where(np.isnan(grid), default, grid)
         (down, near_down), (across, near_across) = (_axis_weights(s, factor) for s in (rows, cols))
         missing = np.isnan(grid)
         dense = down @ np.where(missing, 0.0, grid) @ across.T
@@ -95,6 +99,10 @@ def bicubic_upsample(
 
     if strategy == "tile":
         return tiled(base, keys, shape, REACH, denser, max(1, tile // factor), factor)
+    if default is not None:
+        # max passes over nulls, so a cell that is there keeps its value.
+        filled = base.unionByName(every_cell(base, keys, shape)).groupBy(*keys, "lat_idx", "lon_idx")
+        base = filled.agg(F.coalesce(F.max("value"), F.lit(float(default))).alias("value"))
     extra = every_cell(base, keys, (shape[0] * factor, shape[1]))
     tall = _stretch(base, keys, "lat_idx", "lon_idx", shape[0], factor, extra)
     wide = _stretch(tall, keys, "lon_idx", "lat_idx", shape[1], factor, every_cell(base, keys, (shape[0] * factor, shape[1] * factor)).limit(0))

@@ -35,10 +35,16 @@ def finite(value: Column | str) -> Column:
     return F.when(F.abs(value) < float("inf"), value)
 
 
-def every_cell(cells: DataFrame, keys: list[str], shape: tuple[int, int]) -> DataFrame:
+def every_cell(cells: DataFrame, keys: list[str], shape: tuple[int, int], spread: bool = True) -> DataFrame:
     """Every cell of every frame that has one, with a null value; one row per frame is
-    all that is shuffled."""
+    all that is shuffled.
+
+    Frames are few small rows, which adaptive execution would merge into one task that
+    then makes (and sums) the cells of all; ``spread`` deals them over all tasks.
+    """
     frames = cells.select(*keys).distinct() if keys else cells.limit(1).select()
+    if keys and spread:
+        frames = frames.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     axis = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     grid = frames.withColumn("lat_idx", axis(shape[0])).withColumn("lon_idx", axis(shape[1]))
     return grid.withColumn("value", F.lit(None).cast("double"))
@@ -229,7 +235,7 @@ def tiled(
     sent = cells.select(*keys, *place, F.col("value").cast("double").alias("value"))
     sent = sent.withColumn("_ty", numbers("lat_idx", 0)).withColumn("_tx", numbers("lon_idx", 1))
     # One row more for every tile of a frame, so that tiles without cells are made too.
-    every = every_cell(cells, keys, (number[0], number[1])).withColumnsRenamed({"lat_idx": "_ty", "lon_idx": "_tx"})
+    every = every_cell(cells, keys, (number[0], number[1]), spread=False).withColumnsRenamed({"lat_idx": "_ty", "lon_idx": "_tx"})
     every = every.withColumns({"lat_idx": F.lit(-1), "lon_idx": F.lit(-1)})
     own = [StructField(f.name, f.dataType) for f in cells.select(*keys).schema]
     cell = [StructField("lat_idx", IntegerType()), StructField("lon_idx", IntegerType()), StructField("value", DoubleType())]

@@ -664,9 +664,8 @@ def _(spark, sf):
 def _(spark, sf):
     """Cells without data count as 0 here; in the operator a missing cell spreads."""
     data = wide_cells(spark, sf).select(F.concat_ws("/", "run", "fff").alias("frame"), "lat_idx", "lon_idx", "value")
-    none = stencil.every_cell(data, ["frame"], WIDE_SHAPE).withColumn("value", F.lit(0.0))
-    dense = data.unionByName(none).groupBy("frame", "lat_idx", "lon_idx").agg(F.sum("value").alias("value"))
-    return rounded(resample.bicubic_upsample(dense, ["frame"], WIDE_SHAPE, FACTOR, tile=FACTOR * WIDE_TILE), "value")
+    dense = resample.bicubic_upsample(data, ["frame"], WIDE_SHAPE, FACTOR, tile=FACTOR * WIDE_TILE, default=0.0)
+    return rounded(dense, "value")
 
 
 @query(

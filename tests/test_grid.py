@@ -139,6 +139,24 @@ def test_tiles_without_cells_and_null_keys(spark):
     assert stencil.gaussian(one, [], 1.2, (9, 9), tile=8).count() == 81
 
 
+@pytest.mark.parametrize("strategy", ["scatter", "tile"])
+def test_bicubic_with_a_default_for_missing_cells(spark, strategy):
+    """Absent cells, nulls and NaN count as the default; a frame of nulls is made too."""
+    rows = [("a", 1, 2, 4.0), ("a", 9, 0, -1.5), ("a", 3, 3, None), ("a", 4, 4, float("nan")), ("b", 0, 0, None)]
+    cells = spark.createDataFrame(rows, "k string, lat_idx int, lon_idx int, value double")
+    grid = np.full((10, 6), 0.5)
+    grid[1, 2], grid[9, 0] = 4.0, -1.5
+    got = resample.bicubic_upsample(cells, ["k"], (10, 6), 3, strategy, tile=12, default=0.5)
+    np.testing.assert_allclose(array(got.where("k = 'a'"), (30, 18)), stretch(stretch(grid, 3, 0), 3, 1), atol=1e-12)
+    np.testing.assert_allclose(array(got.where("k = 'b'"), (30, 18)), np.full((30, 18), 0.5), atol=1e-12)
+
+
+def test_cells_of_many_frames_are_made_by_many_tasks(spark):
+    cells = spark.range(400).selectExpr("id AS k", "0 AS lat_idx", "0 AS lon_idx", "1D AS value")
+    made = stencil.every_cell(cells, ["k"], (5, 4)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in made) == 8000 and len(made) > 1 and max(r["count"] for r in made) < 6000
+
+
 def test_upsample_stats(spark):
     crop = frame(spark, RNG.normal(size=(6, 6)), fff=0)
     row = resample.upsample_stats(crop, resample.bicubic_upsample(crop, ["fff"], (6, 6), 10), ["fff"]).first()

@@ -459,15 +459,17 @@ def advisory_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 def advisory_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Track files in KML of the same advisories."""
-    rows = table(spark, sf_dir, "events").selectExpr(
-        *STORM_ADV, "event_id",
+    mark = (
         "concat('<Placemark><styleUrl>', CASE WHEN event_id%6=0 THEN '#initial_point' ELSE '#p' END, '</styleUrl><ExtendedData>', "
         + ", ".join(f"'<Data name=\"{k}\"><value>', {e}, '</value></Data>'" for k, e in ADV_EXT.items())
         + ", '</ExtendedData>', CASE WHEN event_id%6=5 THEN '<LineString><coordinates>0,0 1,1</coordinates></LineString>' ELSE "
         f"concat('<Point><coordinates>', {plain_text(LON_CENTS)}, ',', {plain_text(LAT_CENTS)}, ',0</coordinates></Point>') END, "
-        "'</Placemark>') AS mark",
-    )
-    docs = rows.groupBy("storm_id", "adv").agg(joined("seq", "mark").alias("body"))
+        "'</Placemark>')"
+    )
+    # Short rows become long texts, so their tasks are not merged by the size of the rows.
+    rows = table(spark, sf_dir, "events").selectExpr(*STORM_ADV, "event_id", "user_id")
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "storm_id", "adv")
+    docs = texts_of(dealt.groupBy("storm_id", "adv"), ["seq", "event_id", "user_id"], mark, "body")
     return docs.select(
         "storm_id", "adv",
         F.concat(F.lit("<kml><Document><Folder><name>t</name>"), "body", F.lit("</Folder></Document></kml>")).alias("xml"),

@@ -182,6 +182,23 @@ def plain_xml(xml: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(xml, F.lit(XML_TOKEN), 0), token), "")
 
 
+def _parts(xml: str) -> Column:
+    return F.regexp_extract_all(plain_xml(F.col(xml)), F.lit(KML_PARTS), 0)
+
+
+def _parsed(mark: str) -> Column:
+    return F.from_xml(mark, StructType.fromDDL(f"p {PLACEMARK}")[0].dataType).alias("p")
+
+
+def _plain_marks(documents: DataFrame, xml: str) -> DataFrame:
+    """Placemarks in document order where folders do not matter: nothing is shuffled."""
+    keys = [c for c in documents.columns if c != xml]
+    found = F.filter(_parts(xml), lambda part: part.rlike("(?i)^<placemark"))
+    # The inner form would have Spark look for empty lists first, with all matching done anew.
+    marks = documents.select(*keys, F.posexplode_outer(found).alias("seq", "_xml")).where("seq IS NOT NULL")
+    return marks.select(*keys, "seq", _parsed("_xml"))
+
+
 def _marks(documents: DataFrame, xml: str) -> DataFrame:
     """Placemarks in document order with the nearest named folder, at any depth.
 
@@ -192,8 +209,7 @@ def _marks(documents: DataFrame, xml: str) -> DataFrame:
     """
     keys = [c for c in documents.columns if c != xml]
     numbered = documents.withColumn("_doc", F.monotonically_increasing_id())
-    found = F.regexp_extract_all(plain_xml(F.col(xml)), F.lit(KML_PARTS), 0)
-    parts = numbered.select("_doc", *keys, F.posexplode(found).alias("_pos", "_part"))
+    parts = numbered.select("_doc", *keys, F.posexplode(_parts(xml)).alias("_pos", "_part"))
     part = F.col("_part")
     kind = (
         F.when(part.startswith("</"), "close").when(part.rlike("(?i)^<folder"), "folder").when(part.rlike("(?i)^<document"), "document")
@@ -220,7 +236,7 @@ def _marks(documents: DataFrame, xml: str) -> DataFrame:
     order = Window.partitionBy("_doc").orderBy("_pos")
     return marks.select(
         *keys, (F.row_number().over(order) - 1).alias("seq"), F.coalesce("folder", F.lit("")).alias("folder"),
-        F.from_xml("_xml", StructType.fromDDL(f"p {PLACEMARK}")[0].dataType).alias("p"),
+        _parsed("_xml"),
     )
 
 
@@ -268,8 +284,8 @@ def _ext() -> Column:
 
 def parse_advisory_tracks(documents: DataFrame, xml: str = "xml") -> DataFrame:
     """Track files to rows of kind ``point`` or ``line`` with their metadata map."""
-    marks = _marks(documents, xml)
-    keys = [c for c in marks.columns if c not in ("seq", "folder", "p")]
+    marks = _plain_marks(documents, xml)
+    keys = [c for c in marks.columns if c not in ("seq", "p")]
     point, line = _shape("Point"), _shape("LineString")
     spot = F.get(text.coordinate_list(text.blank_to_null(point[1])), F.lit(0))
     style = F.coalesce(F.trim(F.col("p.styleUrl")), F.lit(""))
@@ -286,8 +302,8 @@ def parse_advisory_tracks(documents: DataFrame, xml: str = "xml") -> DataFrame:
 
 def parse_cones(documents: DataFrame, xml: str = "xml") -> DataFrame:
     """Cone files to ring points: the first placemark with a filled polygon."""
-    marks = _marks(documents, xml)
-    keys = [c for c in marks.columns if c not in ("seq", "folder", "p")]
+    marks = _plain_marks(documents, xml)
+    keys = [c for c in marks.columns if c not in ("seq", "p")]
     ring = text.coordinate_list(text.blank_to_null(_shape("Polygon")[1]))
     rings = marks.select(*keys, "seq", ring.alias("coords")).filter(F.size("coords") > 0)
     first = rings.groupBy(*keys).agg(F.min_by("coords", "seq").alias("coords"))

@@ -142,3 +142,15 @@ def test_stream_equals_batch_and_replay_is_harmless(spark, tmp_path):
     (bulletin(2).withColumn("run", F.lit(run)).withColumn("batch_seq", F.lit(2)).write.mode("overwrite").partitionBy("run", "batch_seq")
      .option("partitionOverwriteMode", "dynamic").parquet(log))
     assert state(live.current_tracks(spark, log)) == streamed
+
+
+def test_advisory_files_are_parsed_where_they_lie(spark):
+    """Folders do not matter for them, so no file is shuffled or sorted."""
+    mark = '<Placemark><ExtendedData><Data name="a"><value>{}</value></Data></ExtendedData>{}</Placemark>'
+    point = "<Point><coordinates>5,6,0</coordinates></Point>"
+    body = "<name>n</name><Folder>" + mark.format(1, point) + "</Folder><Placemark/>" + mark.format(2, point)
+    docs = spark.createDataFrame([(1, f"<kml><Document>{body}</Document></kml>"), (2, "<kml/>"), (3, None)], "k int, xml string")
+    rows = markup.parse_advisory_tracks(docs)
+    assert sorted((r["k"], r["seq"], r["kind"], r["lat"], r["ext"]["a"]) for r in rows.collect()) == [(1, 0, "point", 6.0, "1"), (1, 2, "point", 6.0, "2")]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan

@@ -35,7 +35,9 @@ LENGTH, GRAM = 200, 64
 # Different contexts of a k-gram beyond which its starts are compared by hash.
 HOT = 1 << 16
 # Bytes of a shard, about; a shard takes some 70 bytes of memory for each.
-SHARD = 8 << 20
+SHARD = 2 << 20
+# Contexts whose bytes are copied together.
+SOME = 1000
 # Stands for a null doc_id inside the operator.
 _NO_ID = -(2**63)
 # Ends every context in a shard; in no UTF-8 text.
@@ -75,11 +77,14 @@ def _contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         lo, span = place >> 24, place >> 12 & 0xFFF
         begin = offsets[row] + lo
         size = span + length
-        data = text[ragged(begin, size)].tobytes()
         ends = np.append(0, np.cumsum(size)).astype(np.int32)
+        data = np.empty(ends[-1], np.uint8)
+        for a in range(0, len(size), SOME):
+            b = min(len(size), a + SOME)
+            data[ends[a] : ends[b]] = text[ragged(begin[a:b], size[a:b])]
         return {
             "gram": gram, "context": context, "n": n, "span": span,
-            "bytes": pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)]),
+            "bytes": pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data)]),
         }
 
     return mapped(joined, step, "gram long, context long, n long, span long, bytes binary")

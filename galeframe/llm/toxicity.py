@@ -14,6 +14,7 @@ texts that may have a label, as a bitmap of hashes of the labelled ids tells.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,9 @@ GROUP_TEXTS = 2500
 # Bits of the bitmap for a labelled id, so that few other texts pass, and most bits of all
 # (32 MiB); what passes is joined exactly, so fewer bits let more pass and change no result.
 ID_BITS, MOST_BITS = 16, 1 << 28
+# Bytes of text, texts of a group and entries (text, feature) of it that are looked at
+# together: what a task holds beside its rows follows these.
+TEXT_BYTES, SOME_TEXTS, PIECE = 1 << 18, 256, 1 << 18
 # Weights are summed as whole numbers of this fraction, so that their order is all one.
 FRACTION = 1e-9
 FOLDS = 4
@@ -61,7 +65,7 @@ def _kinds(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 def features(text: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None):
     """(row, slot) of every distinct feature of every text; ``wanted`` limits the slots."""
     rows, slots = [], []
-    for a, b in doc_blocks(offsets):
+    for a, b in doc_blocks(offsets, TEXT_BYTES):
         block = lowered(text[offsets[a] : offsets[b]])
         heads = offsets[a:b] - offsets[a]
         begin, end = letter_words(block, heads[heads < len(block)])
@@ -93,10 +97,14 @@ class Linear:
     earlier: np.ndarray  # weights of the log-odds before it in the chain
     bias: float
 
-    def log_odds(self, row: np.ndarray, slot: np.ndarray, n: int, before: np.ndarray) -> np.ndarray:
-        table = np.zeros(SLOTS)
-        table[self.slots] = self.weights
-        out = np.bincount(row, table[slot], n) + self.bias
+    def table(self) -> np.ndarray:
+        out = np.zeros(SLOTS)
+        out[self.slots] = self.weights
+        return out
+
+    def log_odds(self, sums: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """``sums``: of the weights of each text's features."""
+        out = sums + self.bias
         return out + before @ self.earlier if len(self.earlier) else out
 
 
@@ -122,23 +130,47 @@ def _runs_of(numbers: np.ndarray) -> _Runs:
     return _Runs(order, start, placed[start])
 
 
-def _fit_one(row: np.ndarray, slot: np.ndarray, n: int, before: np.ndarray, label: np.ndarray) -> Linear:
-    """A penalised logistic regression on the features that go with the label."""
-    count = np.bincount(slot, minlength=SLOTS)
-    with_label = np.bincount(slot[label[row]], minlength=SLOTS)
+def _pieces(row: np.ndarray, slot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for a in range(0, max(1, len(row)), PIECE):
+        yield row[a : a + PIECE], slot[a : a + PIECE]
+
+
+def _filled(n: int, pieces: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` entries of the pieces in which neither number is negative."""
+    row, column, at = np.empty(n, np.int32), np.empty(n, np.int32), 0
+    for r, c in pieces:
+        use = (r >= 0) & (c >= 0)
+        to = slice(at, at + int(use.sum()))
+        row[to], column[to], at = r[use], c[use], to.stop
+    return row, column
+
+
+def _fit_one(row: np.ndarray, number: np.ndarray, names: np.ndarray, inside: np.ndarray, before: np.ndarray, label: np.ndarray) -> Linear:
+    """A penalised logistic regression on the features that go with the label.
+
+    Only texts ``inside`` are learnt from; feature ``number`` has the slot ``names[number]``.
+    """
+    n = int(inside.sum())
+    chosen = inside & label
+    count, with_label = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+    for r, c in _pieces(row, number):
+        count += np.bincount(c[inside[r]], minlength=len(names))
+        with_label += np.bincount(c[chosen[r]], minlength=len(names))
+    place = np.where(inside, np.cumsum(inside) - 1, -1).astype(np.int32)
+    before, label = before[inside], label[inside]
     positive = max(1, int(label.sum()))
     negative = max(1, n - positive)
     p, q, all_ = with_label / positive, (count - with_label) / negative, count / max(1, n)
     z = np.abs(p - q) / np.sqrt(np.maximum(all_ * (1 - all_), 1e-12) * (1 / positive + 1 / negative))
     slots = np.flatnonzero((z >= LEAST_Z) & (count >= 3))
     slots = np.sort(slots[np.argsort(-z[slots], kind="stable")[:MOST_FEATURES]])
-    index = np.full(SLOTS, -1, np.int64)
+    index = np.full(len(names), -1, np.int32)
     index[slots] = np.arange(len(slots))
-    held = index[slot] >= 0
-    row, column = row[held], index[slot[held]]
+    row, column = _filled(int(count[slots].sum()), ((place[r], index[c]) for r, c in _pieces(row, number)))
     # Sums by text and by feature are sums of runs, as entries are in either order.
     by_text, by_feature = _runs_of(row), _runs_of(column)
     of_text, of_feature = column[by_text.order], row[by_feature.order]
+    del row, column
     weights, earlier, bias = np.zeros(len(slots)), np.zeros(before.shape[1]), 0.0
     grown = [np.full(len(slots), 1e-8), np.full(before.shape[1], 1e-8), 1e-8]
     for _ in range(ROUNDS):
@@ -149,7 +181,7 @@ def _fit_one(row: np.ndarray, slot: np.ndarray, n: int, before: np.ndarray, labe
         weights -= RATE * slopes[0] / np.sqrt(grown[0])
         earlier -= RATE * slopes[1] / np.sqrt(grown[1])
         bias -= RATE * slopes[2] / np.sqrt(grown[2])
-    return Linear(slots, weights, earlier, float(bias))
+    return Linear(names[slots], weights, earlier, float(bias))
 
 
 @dataclass
@@ -167,7 +199,7 @@ class Chain:
         """Texts by categories."""
         odds = np.zeros((n, 0))
         for link in self.links:
-            odds = np.column_stack([odds, np.clip(link.log_odds(row, slot, n, odds), -15, 15)])
+            odds = np.column_stack([odds, np.clip(link.log_odds(np.bincount(row, link.table()[slot], n), odds), -15, 15)])
         return 1 / (1 + np.exp(-odds))
 
 
@@ -175,29 +207,53 @@ def fit(texts: list[str], labels: dict[str, np.ndarray], folds: int = FOLDS) ->
     """A chain over ``labels`` (category -> booleans), in that order."""
     raw = [t.encode() for t in texts]
     offsets = np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64)
-    return _fit_chain(*features(np.frombuffer(b"".join(raw), np.uint8), offsets), len(texts), labels, folds)
-
-
-def _fit_chain(row: np.ndarray, slot: np.ndarray, n: int, labels: dict[str, np.ndarray], folds: int = FOLDS) -> Chain:
-    # No model takes a feature of fewer than three texts.
-    often = np.bincount(slot, minlength=SLOTS) >= 3
-    row, slot = (x[often[slot]].astype(np.int32) for x in (row, slot))
-    fold = np.arange(n) % folds
+    row, slot = features(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    return _fit_chain(lambda: _pieces(row, slot), len(texts), labels, folds)
+
+
+def _frequent(pieces: Callable[[], Iterable[tuple[np.ndarray, np.ndarray]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries (row, number) of features of three texts or more, and the slots of the
+    numbers; no model takes a feature of fewer."""
+    count = np.zeros(SLOTS, np.int64)
+    for _, slot in pieces():
+        count += np.bincount(slot, minlength=SLOTS)
+    names = np.flatnonzero(count >= 3)
+    number = np.full(SLOTS, -1, np.int32)
+    number[names] = np.arange(len(names))
+    return *_filled(int(count[names].sum()), ((row, number[slot]) for row, slot in pieces())), names
+
+
+def _fit_chain(pieces: Callable[[], Iterable[tuple[np.ndarray, np.ndarray]]], n: int, labels: dict[str, np.ndarray], folds: int = FOLDS) -> Chain:
+    """``pieces`` gives the entries (row, slot) of ``n`` texts, rows in order, a piece at a time."""
+    row, number, names = _frequent(pieces)
+    starts = np.searchsorted(row, np.arange(0, n + SOME_TEXTS, SOME_TEXTS))
+    fold, everyone = np.arange(n) % folds, np.ones(n, bool)
     odds, links = np.zeros((n, 0)), []
     for label in labels.values():
         label = label.astype(bool)
-        links.append(_fit_one(row, slot, n, odds, label))
+        links.append(_fit_one(row, number, names, everyone, odds, label))
         unseen = np.zeros(n)
         for k in range(folds if n >= 2 * folds else 0):
             inside = fold != k
-            place = np.cumsum(inside) - 1
-            mine = inside[row]
-            link = _fit_one(place[row[mine]], slot[mine], int(inside.sum()), odds[inside], label[inside])
-            unseen[~inside] = link.log_odds(row, slot, n, odds)[~inside]
+            link = _fit_one(row, number, names, inside, odds, label)
+            table, sums = link.table()[names], np.zeros(n)
+            # All entries of a text are in one piece, so the order of its sum is that of the whole.
+            for at, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
+                own = slice(at * SOME_TEXTS, min(n, (at + 1) * SOME_TEXTS))
+                sums[own] = np.bincount(row[a:b] - own.start, table[number[a:b]], own.stop - own.start)
+            unseen[~inside] = link.log_odds(sums, odds)[~inside]
         odds = np.column_stack([odds, np.clip(unseen, -15, 15)])
     return Chain(tuple(labels), links)
 
 
+def packed_features(text: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The packed features of every text."""
+    out = []
+    for a, b in doc_blocks(offsets, TEXT_BYTES):
+        out += packed(*features(text[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), b - a)
+    return out
+
+
 def packed(row: np.ndarray, slot: np.ndarray, n: int) -> list[bytes]:
     """The sorted slots of every text in two bytes each, after how many have each upper half."""
     upper = np.bincount(row * (SLOTS >> 16) + (slot >> 16), minlength=n * (SLOTS >> 16)).reshape(n, -1).astype("<u4")
@@ -241,7 +297,7 @@ def _candidates(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
         batch = batch.filter(pa.array(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
         if not batch.num_rows:
             return None
-        return {"doc_id": batch.column(0), "slots": packed(*features(*utf8(batch.column(1))), batch.num_rows)}
+        return {"doc_id": batch.column(0), "slots": packed_features(*utf8(batch.column(1)))}
 
     read = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     return mapped(read.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _place(bits)), step, "doc_id long, slots binary")
@@ -275,9 +331,14 @@ def _fit_group(table: pa.Table) -> pa.Table:
     texts = table["slots"].to_pylist()
     one = {i: k for k, i in sorted(enumerate(table["doc_id"].to_pylist()), key=lambda x: texts[x[0]], reverse=True)}
     order = [one[i] for i in sorted(one, key=lambda i: (hash_of(i), i))]
-    table = table.take(order)
-    toxic, junk = table["toxic"].to_numpy() > 0, table["quality"].to_numpy() == 0
-    chain = _fit_chain(*unpacked([texts[k] for k in order]), len(order), dict(zip(CATEGORIES, (junk, toxic, toxic & junk))))
+    toxic, junk = table["toxic"].to_numpy()[order] > 0, table["quality"].to_numpy()[order] == 0
+
+    def pieces() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a in range(0, len(order), SOME_TEXTS):
+            row, slot = unpacked([texts[k] for k in order[a : a + SOME_TEXTS]])
+            yield row + a, slot
+
+    chain = _fit_chain(pieces, len(order), dict(zip(CATEGORIES, (junk, toxic, toxic & junk))))
     link, slot, weight = [], [], []
     for k, model in enumerate(chain.links):
         slot += [model.slots, -2 - np.arange(len(model.earlier)), [-1]]

@@ -47,11 +47,11 @@ def distinct(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.n
     return order[fresh], kind
 
 
-def doc_blocks(offsets: np.ndarray):
-    """(first, last) rows of blocks of about BLOCK_BYTES; a longer text is one block."""
+def doc_blocks(offsets: np.ndarray, size: int = BLOCK_BYTES):
+    """(first, last) rows of blocks of about ``size`` bytes; a longer text is one block."""
     a, rows = 0, len(offsets) - 1
     while a < rows:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
         yield a, min(b, rows)
         a = min(b, rows)
 

@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -309,3 +311,27 @@ def test_toxicity_shuffles_features_of_labelled_texts_only(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "MOST_BITS", 1 << 15)
     monkeypatch.setattr(toxicity, "ID_BITS", 0)
     assert len(toxicity.bitmap(labels, known)) == 1 << 12 and pick(toxicity.dealt(docs, labels, 100)[0]) == got
+
+
+def test_toxicity_memory_is_that_of_its_entries():
+    """A fit holds some bytes an entry; features are made of a little text at a time."""
+    rng = np.random.default_rng(5)
+    n, each = 1600, 1000
+    slots = np.sort(rng.integers(0, 1 << 16, (n, each)) * 13, axis=1).ravel()
+    texts = toxicity.packed(np.repeat(np.arange(n), each), slots, n)
+    toxic = [int(k % 4 == 0) for k in range(n)]
+    group = pa.table({"doc_id": range(n), "slots": pa.array(texts, pa.binary()), "toxic": toxic, "quality": [int(k % 5 > 0) for k in range(n)]})
+    text = np.frombuffer(b" ".join(b"word%d" % k for k in rng.integers(0, 300_000, 400_000)), np.uint8)
+    offsets = np.linspace(0, len(text), 801).astype(np.int64)
+
+    def peak(run):
+        tracemalloc.start()
+        try:
+            run()
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    toxicity.packed_features(text[:100_000], np.array([0, 100_000]))  # fills caches
+    assert peak(lambda: toxicity._fit_group(group)) < 50 << 20
+    assert peak(lambda: toxicity.packed_features(text, offsets)) < 40 << 20
